@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearfield.llm import bpe
+from nearfield.llm import bpe, simhash
 
-QUERIES = {"op9_byte_bpe": bpe.op9_byte_bpe}
+QUERIES = {"op4_simhash_pigeonring": simhash.op4_simhash_pigeonring, "op9_byte_bpe": bpe.op9_byte_bpe}
 ORACLES: dict[str, str] = {}
