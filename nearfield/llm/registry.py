@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from nearfield.llm import bpe, simhash
+from nearfield.llm import bpe, quality_cnn, simhash
 
-QUERIES = {"op4_simhash_pigeonring": simhash.op4_simhash_pigeonring, "op9_byte_bpe": bpe.op9_byte_bpe}
+QUERIES = {
+    "op4_simhash_pigeonring": simhash.op4_simhash_pigeonring,
+    "op5_quality_cnn": quality_cnn.op5_quality_cnn,
+    "op9_byte_bpe": bpe.op9_byte_bpe,
+}
 ORACLES: dict[str, str] = {}
