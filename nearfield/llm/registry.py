@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from nearfield.llm import bpe, quality_cnn, simhash
+from nearfield.llm import bpe, quality_cnn, simhash, toxicity
 
 QUERIES = {
     "op4_simhash_pigeonring": simhash.op4_simhash_pigeonring,
     "op5_quality_cnn": quality_cnn.op5_quality_cnn,
+    "op8_toxicity_gbt": toxicity.op8_toxicity_gbt,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
