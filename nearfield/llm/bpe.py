@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.common import extended
+
 #: White space as Unicode's White_Space property has it (Python's own \s has four control characters more).
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A space with other white space beside it.
@@ -213,7 +215,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     """
     keep = [c for c in docs.columns if c not in ("token_ids", "n_tokens")]
     source = docs.select(*keep)
-    schema = source.schema.add("token_ids", "array<int>").add("n_tokens", "long")
+    schema = extended(source.schema, token_ids="array<int>", n_tokens="long")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
@@ -236,7 +238,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids",
             texts = [None if x is None else bpe.decode(np.array(x, "<u4").tobytes()).decode(errors="replace") for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
-    return source.mapInArrow(run, source.schema.add(out, "string"))
+    return source.mapInArrow(run, extended(source.schema, **{out: "string"}))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -246,7 +248,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, columns: tuple[str, ...
     A null text counts as empty; repeated rows and null doc_ids are kept; an empty table gives no rows.
     """
     source = docs.select(*columns, F.col("text").cast("string").alias("__text"))
-    schema = docs.select(*columns).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = extended(docs.select(*columns).schema, n_tokens="long", ids_sha256="string", decoded_sha256="string")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -58,9 +59,12 @@ def _clean() -> None:
             return
 
 
-def small_partitions(spark: SparkSession, rows: DataFrame) -> int:
-    """The session's number of shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def extended(schema: StructType, **more: str) -> StructType:
+    """``schema`` with further columns, as a new object."""
+    out = StructType(list(schema.fields))
+    for name, kind in more.items():
+        out = out.add(name, kind)
+    return out
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_chars: int, fold: int = 1) -> DataFrame:
