@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from nearfield.llm import bpe, line_runs, quality_cnn, quality_rules, simhash, toxicity
+from nearfield.llm import bpe, line_runs, mixing, quality_cnn, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op2_robust_outliers": quality_rules.op2_robust_outliers,
+    "op3_poisson_mix": mixing.op3_poisson_mix,
     "op4_simhash_pigeonring": simhash.op4_simhash_pigeonring,
     "op5_quality_cnn": quality_cnn.op5_quality_cnn,
     "op7_line_runs": line_runs.op7_line_runs,
     "op8_toxicity_gbt": toxicity.op8_toxicity_gbt,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
-ORACLES: dict[str, str] = {"op2_robust_outliers": quality_rules.OP2_SQL, "op7_line_runs": line_runs.OP7_SQL}
+ORACLES: dict[str, str] = {
+    "op2_robust_outliers": quality_rules.OP2_SQL,
+    "op3_poisson_mix": mixing.OP3_SQL,
+    "op7_line_runs": line_runs.OP7_SQL,
+}
