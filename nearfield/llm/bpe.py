@@ -207,6 +207,11 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
+def _lists(codes: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(x) // 4 for x in codes])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(codes), "<i4")))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with ``token_ids`` (array of int) and ``n_tokens`` (long) of the whole ``text``; a null text is the empty one.
 
@@ -220,10 +225,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
         for batch in batches:
-            ids = [bpe.encode(t or "") for t in batch.column(text).to_pylist()]
-            ends = np.cumsum([0] + [len(x) // 4 for x in ids])
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(np.diff(ends), pa.int64())], [*batch.schema.names, "token_ids", "n_tokens"])
+            ids = _lists([bpe.encode(t or "") for t in batch.column(text).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, ids.value_lengths().cast(pa.int64())], [*batch.schema.names, "token_ids", "n_tokens"])
 
     return source.mapInArrow(run, schema)
 
@@ -241,25 +244,33 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids",
     return source.mapInArrow(run, extended(source.schema, **{out: "string"}))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, columns: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
     """Encode every whole text, decode the ids again, and give ``columns``, n_tokens, ids_sha256 (of the ids as
-    little-endian unsigned 32-bit integers) and decoded_sha256 (of the decoded bytes), one row for each row of ``docs``.
+    little-endian unsigned 32-bit integers), decoded_sha256 (of the decoded bytes) and, if ``ids``, token_ids (array of int),
+    one row for each row of ``docs``.
 
     A null text counts as empty; repeated rows and null doc_ids are kept; an empty table gives no rows.
     """
     source = docs.select(*columns, F.col("text").cast("string").alias("__text"))
     schema = extended(docs.select(*columns).schema, n_tokens="long", ids_sha256="string", decoded_sha256="string")
+    if ids:
+        schema = extended(schema, token_ids="array<int>")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
         for batch in batches:
-            n, ids, back = [], [], []
+            n, sha, back, codes = [], [], [], []
             for t in batch.column("__text"):
                 code = bpe.encode(t.as_py() or "")
                 n.append(len(code) // 4)
-                ids.append(hashlib.sha256(code).hexdigest())
+                sha.append(hashlib.sha256(code).hexdigest())
+                if ids:
+                    codes.append(code)
                 back.append(hashlib.sha256(bpe.decode(code)).hexdigest())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], schema.names)
+            found = [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+            if ids:
+                found.append(_lists(codes))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *found], schema.names)
 
     return source.mapInArrow(run, schema)
 

@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -63,7 +63,7 @@ def extended(schema: StructType, **more: str) -> StructType:
     """``schema`` with further columns, as a new object."""
     out = StructType(list(schema.fields))
     for name, kind in more.items():
-        out = out.add(name, kind)
+        out = out.add(name, DataType.fromDDL(kind))
     return out
 
 

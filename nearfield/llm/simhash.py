@@ -15,7 +15,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import forget, written
@@ -125,11 +125,17 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3) -> DataFrame:
 def keep_first(docs: DataFrame, n: int = 3, radius: int = 3) -> DataFrame:
     """The rows of ``docs`` that stand for their component of near-duplicates: those whose doc_id is its smallest.
 
-    Of repeated rows with one doc_id, one stays; rows without a doc_id can't be told apart and all stay.
+    Of repeated rows with one doc_id, that with the smallest hash of its text stays; rows without a doc_id can't be told
+    apart and all stay. All columns are kept.
     """
-    kept = near_duplicates(docs, n, radius).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    near = near_duplicates(docs, n, radius)
+    out = docs.join(near.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.limit(1).count():
+        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+        some = out.join(repeated, "doc_id", "left_semi").select(*docs.columns).withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
+        out = out.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(some)
+    return out
 
 
 def op4_simhash_pigeonring(spark, sf_dir: str) -> DataFrame:
