@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from nearfield.llm import bpe, line_runs, mixing, quality_cnn, quality_rules, simhash, toxicity
+from nearfield.llm import bpe, chat, line_runs, mixing, quality_cnn, quality_rules, simhash, toxicity
 
 QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
     "op2_robust_outliers": quality_rules.op2_robust_outliers,
     "op3_poisson_mix": mixing.op3_poisson_mix,
     "op4_simhash_pigeonring": simhash.op4_simhash_pigeonring,
@@ -14,6 +15,7 @@ QUERIES = {
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 ORACLES: dict[str, str] = {
+    "op1_chat_format": chat.OP1_SQL,
     "op2_robust_outliers": quality_rules.OP2_SQL,
     "op3_poisson_mix": mixing.OP3_SQL,
     "op7_line_runs": line_runs.OP7_SQL,
