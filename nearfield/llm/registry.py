@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearfield.llm import bpe, chat, line_runs, mixing, quality_cnn, quality_rules, simhash, toxicity
+from nearfield.llm import bpe, chat, line_runs, mixing, quality_cnn, quality_rules, simhash, toxicity, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_poisson_mix": mixing.op3_poisson_mix,
     "op4_simhash_pigeonring": simhash.op4_simhash_pigeonring,
     "op5_quality_cnn": quality_cnn.op5_quality_cnn,
+    "op6_warc_index": warc.op6_warc_index,
     "op7_line_runs": line_runs.op7_line_runs,
     "op8_toxicity_gbt": toxicity.op8_toxicity_gbt,
     "op9_byte_bpe": bpe.op9_byte_bpe,
@@ -18,5 +19,6 @@ ORACLES: dict[str, str] = {
     "op1_chat_format": chat.OP1_SQL,
     "op2_robust_outliers": quality_rules.OP2_SQL,
     "op3_poisson_mix": mixing.OP3_SQL,
+    "op6_warc_index": warc.OP6_SQL,
     "op7_line_runs": line_runs.OP7_SQL,
 }
