@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearfield.llm import bpe, chat, line_runs, mixing, quality_cnn, quality_rules, simhash, toxicity, warc
+from nearfield.llm import bpe, chat, line_runs, mixing, pivots, quality_cnn, quality_rules, simhash, toxicity, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_line_runs": line_runs.op7_line_runs,
     "op8_toxicity_gbt": toxicity.op8_toxicity_gbt,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_pivot_topk": pivots.op10_pivot_topk,
 }
 ORACLES: dict[str, str] = {
     "op1_chat_format": chat.OP1_SQL,
@@ -21,4 +22,5 @@ ORACLES: dict[str, str] = {
     "op3_poisson_mix": mixing.OP3_SQL,
     "op6_warc_index": warc.OP6_SQL,
     "op7_line_runs": line_runs.OP7_SQL,
+    "op10_pivot_topk": pivots.OP10_SQL,
 }
