@@ -364,12 +364,13 @@ def steal_centroids(spark, sf_dir):
     return R.steal_centroids(written_state(state(spark, sf_dir)), "emb", "n0", "n1", 60).points.select("id", "node_id")
 
 
-_UNEVEN = F.when(F.col("label") < 7, "n0").when(F.col("label") < 9, "n1").otherwise("n2")
+def _uneven() -> Column:
+    return F.when(F.col("label") < 7, "n0").when(F.col("label") < 9, "n1").otherwise("n2")
 
 
 @query("WITH x AS (SELECT CASE WHEN label < 7 THEN 'n0' WHEN label < 9 THEN 'n1' ELSE 'n2' END AS node_id, count(*) AS n FROM embeddings GROUP BY ALL), t AS (SELECT sum(n)::BIGINT // 3 AS mean, floor(0.4 * (sum(n)::BIGINT // 3)) AS margin FROM x) SELECT 'emb' AS namespace, a.node_id, b.node_id AS from_node, ((mean - a.n) // 3 // 3)::BIGINT AS n_transfer FROM x a, x b, t WHERE a.node_id <> b.node_id AND a.n <= mean - margin AND (mean - a.n) // 3 // 3 > 0 AND b.n - (mean - a.n) // 3 // 3 >= mean + margin")
 def load_balance_plan(spark, sf_dir):
-    return R.load_balance_plan(state(spark, sf_dir, _UNEVEN))
+    return R.load_balance_plan(state(spark, sf_dir, _uneven()))
 
 
 # --- the store itself -------------------------------------------------------------------------------------------------
@@ -379,7 +380,7 @@ def load_balance_plan(spark, sf_dir):
 def maintenance_cycle_pass(spark, sf_dir):
     """All steps of pass 0 over an uneven store, with the counts afterwards."""
     config = Config(n_internal=N_MOVE, n_fast=N_MOVE, n_accurate=N_MOVE, split_range=(100, 1_000_000_000), merge_range=(-1, 20))
-    return meta_counts(maintenance_cycle(written_state(state(spark, sf_dir, _UNEVEN)), config, 0, NOW, settle=written_state))
+    return meta_counts(maintenance_cycle(written_state(state(spark, sf_dir, _uneven())), config, 0, NOW, settle=written_state))
 
 
 @query(f"WITH {_E} SELECT id, 'n0' AS node_id, 0::BIGINT AS centroid_id FROM e WHERE NOT dead")
