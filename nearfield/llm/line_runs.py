@@ -105,6 +105,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Overlapping runs are not merged here; a text's union of them is what later copies lose.
     """
     table = written(lines(docs, min_words), "lines")
+    if table.where("ln = 0").groupBy("id", "th").count().where("count > 1").limit(1).count():
+        # repeated rows are one text: each doubling would pair their lines with one another
+        once = written(table.dropDuplicates(["id", "th", "ln"]), "lines")
+        forget(table)
+        table = once
     longest = table.agg(F.max(F.greatest("ahead", "behind"))).first()[0] or 0
     ranks = suffix_ranks(table, longest)
     sizes = F.array_distinct(F.array(F.struct(F.col("ln").alias("start"), F.col("ahead").alias("size")), F.struct((F.col("ln") - F.col("behind") + 1).alias("start"), F.col("behind").alias("size"))))
@@ -132,7 +137,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     before others. Null and empty texts are one empty line and never lose it. An empty table gives an empty table.
     """
     docs = docs.drop("n_lines", "n_removed")
-    later = repeated_runs(docs, min_words).groupBy("id", "th").agg(F.collect_list("start").alias("__starts"), F.collect_list("size").alias("__sizes"))
+    later = repeated_runs(docs, min_words).groupBy(F.col("id").alias("__id"), F.col("th").alias("__of")).agg(F.collect_list("start").alias("__starts"), F.collect_list("size").alias("__sizes"))
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +145,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(th, np.uint64).astype(np.int64))], [*batch.schema.names, "__th"])
 
     known = docs.mapInArrow(hashed, extended(docs.schema, __th="long"))
-    both = known.join(later, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)) == later.id) & (F.col("__th") == later.th), "left").drop("id", "th", "__th")
+    both = known.join(later, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)) == F.col("__id")) & (F.col("__th") == F.col("__of")), "left").drop("__id", "__of", "__th")
     schema, names = extended(docs.schema, n_lines="long", n_removed="long"), docs.columns
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
