@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, line_runs, mixing, quality_cnn, simhash
+from nearfield.llm import bpe, line_runs, mixing, quality_cnn, simhash, similar
 from nearfield.llm.common import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,6 +30,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_first(docs.select(*COLUMNS))
 
 
+def one_of_each_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same at five-word shingles and a Jaccard similarity of 0.8 or more, in place of op4's 3 bits. Not in STAGES."""
+    return similar.keep_first(docs.select(*COLUMNS))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights, copies shuffled globally."""
     return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)

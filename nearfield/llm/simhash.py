@@ -122,6 +122,15 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3) -> DataFrame:
     return found.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def first_rows(rows: DataFrame, key: str, labels: DataFrame) -> DataFrame:
+    """One of the written ``rows`` (with doc_id, text and a unique __row) of each component: that with the smallest doc_id,
+    nulls last, ties to the smallest hash of the text. ``labels`` (node, label) link values of ``key``; others stand alone."""
+    own = rows.select(F.col(key).alias("node"), F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.xxhash64("text").alias("h"), "__row").alias("row"))
+    nodes = own.groupBy("node").agg(F.min("row").alias("row")).join(labels, "node", "left")
+    first = written(nodes.groupBy(F.coalesce("label", "node")).agg(F.min("row").alias("row")).select(F.col("row.__row").alias("__row")), "first")
+    return rows.join(first, "__row", "left_semi")
+
+
 def keep_first(docs: DataFrame, n: int = 3, radius: int = 3) -> DataFrame:
     """The rows of ``docs`` that stand for their component of near-duplicates: those whose doc_id is its smallest.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from nearfield.llm import bpe, chat, line_runs, mixing, pivots, quality_cnn, quality_rules, registry, simhash, toxicity, warc
+from nearfield.llm import bpe, chat, line_runs, mixing, pivots, quality_cnn, quality_rules, registry, similar, simhash, toxicity, warc
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, th long, `key` string, label string, n long"
@@ -75,6 +75,52 @@ def test_simhash_odd_tables(odd, none):
     assert simhash.near_duplicates(none).count() == simhash.keep_first(none).count() == 0
 
 
+def _similar_by_all_pairs(texts: dict[int, str]) -> set[int]:
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    ids, up = sorted(sets), {i: i for i in sets}
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) - 1e-6 and len(x & y) / len(x | y) >= 0.8:
+                low, high = sorted((top(a), top(b)))
+                up[high] = low
+    return {top(i) for i in ids}
+
+
+def test_similar_stage_finds_every_similar_pair(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    rng = np.random.default_rng(7)
+    edited = []
+    for i, r in enumerate(docs.where("n_chars > 1500").orderBy("doc_id").limit(20).collect()):
+        words = r.text.split(" ")
+        for k in range(3):  # chains of copies, each with a few words more changed
+            for at in rng.integers(0, len(words), max(1, len(words) // 60)):
+                words[at] = f"changed{k}"
+            edited.append((10**6 + 10 * i + k, " ".join(words), r.lang, r.source, None))
+    table = docs.select(*corpus_pipeline.COLUMNS).union(spark.createDataFrame(edited, docs.select(*corpus_pipeline.COLUMNS).schema))
+    got = [r.doc_id for r in corpus_pipeline.one_of_each_similar(spark, table, MIDDLE).collect()]
+    want = _similar_by_all_pairs({r.doc_id: r.text for r in table.collect()})
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_similar_odd_tables(odd, none):
+    kept = similar.keep_first(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 1), (False, 4), (False, 5), (False, 7), (True, None)]
+    assert similar.keep_first(none).count() == 0
+
+
 # --- classifiers ------------------------------------------------------------------------------------------------------
 
 
