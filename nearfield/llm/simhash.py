@@ -15,10 +15,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import forget, written
+from nearfield.llm.common import extended, forget, written
 
 _BLOCK = 1 << 16
 
@@ -132,19 +132,18 @@ def first_rows(rows: DataFrame, key: str, labels: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, n: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stand for their component of near-duplicates: those whose doc_id is its smallest.
+    """One row of each component of near-duplicates, by ``first_rows``. Rows are told apart whether or not their doc_ids
+    repeat or are null. All columns are kept."""
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__text", F.col("text").cast("string"))
 
-    Of repeated rows with one doc_id, that with the smallest hash of its text stays; rows without a doc_id can't be told
-    apart and all stay. All columns are kept.
-    """
-    near = near_duplicates(docs, n, radius)
-    out = docs.join(near.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.limit(1).count():
-        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-        some = out.join(repeated, "doc_id", "left_semi").select(*docs.columns).withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
-        out = out.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(some)
-    return out
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t.as_py(), n) for t in batch.column("__text")], "<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], [*batch.schema.names, "__fp"])
+
+    rows = written(numbered.mapInArrow(run, extended(numbered.schema, __fp="long")).drop("__text"), "fingerprints")
+    nodes = written(rows.select(F.col("__fp").alias("fp")).distinct(), "nodes")
+    return first_rows(rows, "__fp", components(links(nodes, radius))).select(*docs.columns)
 
 
 def op4_simhash_pigeonring(spark, sf_dir: str) -> DataFrame:

@@ -96,6 +96,12 @@ def _similar_by_all_pairs(texts: dict[int, str]) -> set[int]:
     return {top(i) for i in ids}
 
 
+def test_keep_first_leaves_one_row_of_each_component(spark):
+    rows = [(1, "a b c d"), (5, "a b c d"), (5, "quite another text"), (9, "quite another text"), (None, "a b c d"), (None, "nobody's"), (None, "nobody's")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(1, "a b c d"), (5, "quite another text"), (None, "nobody's")])
+
+
 def test_similar_stage_finds_every_similar_pair(spark):
     import corpus_pipeline
 
