@@ -32,11 +32,11 @@ _BLOCK = "dim int, ids binary, vecs binary, far binary, large boolean"
 
 
 def vectors(table: DataFrame, scale: int = 64) -> DataFrame:
-    """(id, v): floor(scale * x) of each component, as doubles without fraction. One row for each vec_id (of repeated ones
-    the smallest vector); rows with a null vec_id or vector, or a null or non-finite component, are left out."""
+    """(id, v): floor(scale * x) of each component, as doubles without fraction. One row for each vector of each
+    vec_id (rows equal in both are one); rows with a null vec_id or vector, or a null or non-finite component, are left out."""
     x = F.transform(F.col("embedding"), lambda e: F.floor(e.cast("double") * scale).cast("double"))
     fine = F.col("embedding").isNotNull() & F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
-    return table.where(F.col("vec_id").isNotNull() & fine).groupBy(F.col("vec_id").cast("long").alias("id")).agg(F.min(x).alias("v"))
+    return table.where(F.col("vec_id").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("id"), x.alias("v")).distinct()
 
 
 def choose_pivots(table: DataFrame, count: int = PIVOTS) -> dict[int, np.ndarray]:

@@ -294,3 +294,10 @@ def test_top_k_odd_tables(spark):
     assert got == [(0, 1, 7, big), (0, 2, 20, 64 * 64 + 32 * 32), (20, 1, 7, big), (20, 2, 0, 64 * 64 + 32 * 32)]
     none = pivots.vectors(spark.createDataFrame([], kind))
     assert pivots.top_k(none, none).count() == 0
+
+
+def test_top_k_takes_every_vector_of_a_repeated_id(spark):
+    rows = [(0, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [1.5, 0.0])]
+    table = pivots.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = sorted((r["rank"], r.vec_id, r.score) for r in pivots.top_k(table, table.where("id = 0")).collect())
+    assert got == [(1, 3, 8192), (2, 4, 6144), (3, 3, 4096)]
