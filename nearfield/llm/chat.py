@@ -91,11 +91,28 @@ def text_span(turns: list[Turn], template: Template, span: tuple[int, int]) -> t
     return (head, max(head, end)) if span[0] <= head else span
 
 
+def places(turns: list[Turn], k: int, template: Template) -> list[tuple[int, int]]:
+    """Where the text of turn ``k`` lies in the rendering of all ``turns``: every place, none if it isn't there as it was
+    probed (two renderings that differ in that text alone)."""
+    a, b = (template([*turns[:k], (turns[k][0], probe), *turns[k + 1 :]]) for probe in ("A", "B"))
+    whole = template(turns)
+    at = [i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y]
+    if not at or len(a) != len(b):
+        return []
+    size, rest = divmod(len(whole) - len(a) + len(at), len(at))
+    pieces = [a[i:j] for i, j in zip([0, *[i + 1 for i in at]], [*at, len(a)], strict=True)]
+    out = [(i + n * (size - 1), i + n * (size - 1) + size) for n, i in enumerate(at)]
+    if rest or size < 0 or "".join(p + whole[s:e] for p, (s, e) in zip(pieces, out, strict=False)) + pieces[-1] != whole:
+        return []
+    return out
+
+
 def format_chats(conversations: DataFrame, template: Template = marked, learn: str = "assistant") -> DataFrame:
     """(conv_id, n_turns, formatted, spans, texts, rewrites_at): one row for each conversation.
 
     ``spans`` are the turns' places in ``formatted`` (start, end, role); ``texts`` the places of the texts of role
-    ``learn``, the loss mask; ``rewrites_at`` is the first turn that rewrote history, else null. Turns are taken by turn,
+    ``learn``, the loss mask; ``rewrites_at`` is the first turn that rewrote history, else null. After a rewrite, both are the
+    places of the turns' texts in the final rendering: a span is the first such place, empty if there is none. Turns are taken by turn,
     ties by role and text, so repeated rows are turns of their own; null texts and roles count as empty; null turns come
     first; rows without a conv_id are one conversation; an empty table gives no rows. Rendering prefixes takes a
     conversation's turns times its length.
@@ -107,8 +124,12 @@ def format_chats(conversations: DataFrame, template: Template = marked, learn: s
     def one(conv: int | None, turns: list[Turn]) -> dict:
         out, where, rewritten = spans(turns, template)
         texts = []
+        if rewritten is not None:
+            found = [places(turns, k, template) for k in range(len(turns))]
+            where = [f[0] if f else (0, 0) for f in found]
+            texts = sorted(p for f, (role, _) in zip(found, turns, strict=True) if role == learn for p in f)
         for k, (role, _) in enumerate(turns):
-            if role == learn and (rewritten is None or k < rewritten):
+            if role == learn and rewritten is None:
                 texts.append(text_span(turns[: k + 1], template, where[k]))
         return {
             "conv_id": conv, "n_turns": len(turns), "formatted": out, "spans": [{"start": a, "end": b, "role": r} for (a, b), (r, _) in zip(where, turns, strict=True)],

@@ -301,3 +301,13 @@ def test_top_k_takes_every_vector_of_a_repeated_id(spark):
     table = pivots.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     got = sorted((r["rank"], r.vec_id, r.score) for r in pivots.top_k(table, table.where("id = 0")).collect())
     assert got == [(1, 3, 8192), (2, 4, 6144), (3, 3, 4096)]
+
+
+def test_chat_texts_lie_in_the_final_rendering_after_a_rewrite(spark):
+    turns = [("user", "hi"), ("assistant", "first # answer"), ("user", "more"), ("assistant", "second")]
+    numbered = lambda ts: "".join(f"[{len(ts) - k}]{r}:{t.replace('#', '##')};" for k, (r, t) in enumerate(ts))
+    latest_only = lambda ts: "".join(f"{r}:{t if k + 1 == len(ts) else ''};" for k, (r, t) in enumerate(ts))
+    table = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    for template, want in ((numbered, ["first ## answer", "second"]), (latest_only, ["second"])):
+        row = chat.format_chats(table, template).collect()[0]
+        assert row.rewrites_at == 1 and [row.formatted[p.start : p.end] for p in row.texts] == want
