@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.ttl import expired
 from nearfield.functions.vectors import cosine, norm, vec_mean
-from nearfield.operators.search import BROADCAST_ROWS, nearest, usable
+from nearfield.operators.search import nearest, usable
 from nearfield.plans.state import CENTROID, MANAGER, POINT_COLUMNS, State
+from nearfield.sources.scratch import small, written
 
 Now = datetime | str | None
 
@@ -25,11 +27,6 @@ def live(points: DataFrame, now: Now = None) -> DataFrame:
     return points.where(~expired(now))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast, if it is small enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def move_vector(state: State) -> State:
     """Each centroid's vector becomes the mean of its points; without points, or with points of mixed length, it stays."""
     means = vec_mean(state.points, CENTROID, out="mean")
@@ -54,13 +51,12 @@ def mem_trim(state: State, now: Now = None) -> State:
 def assign(state: State, points: DataFrame, now: Now = None) -> DataFrame:
     """``points`` (namespace, node_id and all but centroid_id) with ``centroid_id`` of the nearest centroid of their
     manager, ``score``, and ``reason``: null, "expired", or "incomparable" where no centroid has their dimension (such
-    points have no centroid)."""
-    rows = points.drop("centroid_id").withColumn("__late", expired(now))
-    best = nearest(rows, state.centroids.select(*MANAGER, "centroid_id", "vec"), 1, MANAGER, key="id", receiver="centroid_id").drop("rank")
-    placed = best.where(~F.col("__late")).withColumn("reason", F.lit(None).cast("string"))
-    rest = rows.join(placed.select("id", "seq"), ["id", "seq"], "left_anti").select(*rows.columns)
-    rest = rest.withColumn("centroid_id", F.lit(None).cast("long")).withColumn("score", F.lit(None).cast("double")).withColumn("reason", F.when(F.col("__late"), "expired").otherwise("incomparable"))
-    return placed.unionByName(rest).drop("__late")
+    points have no centroid). One line for each row, whatever ids repeat within or across managers."""
+    rows = points.drop("centroid_id")
+    best = nearest(rows, state.centroids.select(*MANAGER, "centroid_id", "vec"), 1, MANAGER, receiver="centroid_id", keep=True).drop("rank")
+    late = expired(now)
+    out = best.withColumn("reason", F.when(late, "expired").when(F.col("centroid_id").isNull(), "incomparable"))
+    return out.withColumns({c: F.when(F.col("reason").isNull(), F.col(c)) for c in ("centroid_id", "score")})
 
 
 def found_managers(state: State, points: DataFrame, now: Now = None) -> State:
@@ -71,15 +67,21 @@ def found_managers(state: State, points: DataFrame, now: Now = None) -> State:
     return state.having(centroids=state.centroids.unionByName(new))
 
 
+def pieces(n: Column, threshold: int) -> Column:
+    """How often a centroid of ``n`` points gives its ``threshold // 2`` oldest points away until it is below ``threshold``."""
+    return F.greatest(F.lit(0).cast("long"), F.floor((n - threshold) / (threshold // 2)).cast("long") + 1)
+
+
 def add_points(state: State, points: DataFrame, now: Now = None, threshold: int = 0) -> tuple[DataFrame, State]:
     """Add a batch: (report, new state). The report has each point's id, seq, centroid_id and the reason of a rejection.
-    Centroids of at least ``threshold`` points (if over 1) then give their oldest half to a new centroid."""
+    Centroids of at least ``threshold`` points (if over 1) then give their ``threshold // 2`` oldest points to a new
+    centroid, again and again until they are below it."""
     state = found_managers(state, points, now)
     placed = assign(state, points, now)
     accepted = placed.where("reason IS NULL").select(*POINT_COLUMNS)
     new = move_vector(state.having(points=state.points.unionByName(accepted)))
     if threshold > 1:
-        new = split_centroids(new, F.col("n_points") >= threshold, F.lit(threshold // 2))
+        new = split_centroids(new, F.col("n_points") >= threshold, F.lit(threshold // 2), pieces(F.col("n_points"), threshold))
     return placed.select(*MANAGER, "id", "seq", "centroid_id", "reason"), new
 
 
@@ -96,13 +98,13 @@ def _portions(candidates: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 def portions(state: State, n: int, now: Now = None) -> DataFrame:
     """(namespace, node_id, centroid_id, n_taken): how many points each centroid gives when its manager gives ``n``."""
-    rows = live(state.points, now).join(_small(state.centroids.select(*CENTROID, "ord")), CENTROID)
+    rows = live(state.points, now).join(small(state.centroids.select(*CENTROID, "ord")), CENTROID)
     return _portions(rows, [F.col("seq"), F.col("id")], n).groupBy(*CENTROID).agg(F.count("*").alias("n_taken"))
 
 
 def drain_candidates(state: State, n: int, now: Now = None, ordered: bool = False) -> DataFrame:
     """The points that ``drain`` takes, with pos, turn and, if ``ordered``, their similarity to their centroid."""
-    rows = live(state.points, now).join(_small(state.centroids.select(*CENTROID, "ord", F.col("vec").alias("cvec"))), CENTROID)
+    rows = live(state.points, now).join(small(state.centroids.select(*CENTROID, "ord", F.col("vec").alias("cvec"))), CENTROID)
     if not ordered:
         return _portions(rows.drop("cvec"), [F.col("seq"), F.col("id")], n)
     scored = rows.withColumn("score", cosine("vec", "cvec")).drop("cvec").where(usable("score"))
@@ -116,8 +118,8 @@ def without(points: DataFrame, taken: DataFrame) -> DataFrame:
 def drain(state: State, n: int, now: Now = None, ordered: bool = False) -> tuple[DataFrame, State]:
     """Take at most ``n`` live points of each manager, the oldest (or, if ``ordered``, the least like their centroid) of
     each centroid first: (taken, new state). Nothing for n <= 0."""
-    taken = drain_candidates(state, n, now, ordered)
-    return taken.select(*POINT_COLUMNS), move_vector(state.having(points=without(live(state.points, now), taken)))
+    taken = written(drain_candidates(state, n, now, ordered).select(*POINT_COLUMNS), "drained")
+    return taken, move_vector(state.having(points=without(live(state.points, now), taken)))
 
 
 # --- looking up -----------------------------------------------------------------------------------------------------
@@ -125,8 +127,13 @@ def drain(state: State, n: int, now: Now = None, ordered: bool = False) -> tuple
 
 def nearest_centroids(state: State, queries: DataFrame, n: int) -> DataFrame:
     """(query_id, namespace, node_id, centroid_id, crank, cscore): of each manager the ``n`` centroids nearest to each query."""
+    return ranked_centroids(state, small(queries, "queries"), n)
+
+
+def ranked_centroids(state: State, queries: DataFrame, n: int) -> DataFrame:
+    """``nearest_centroids`` of queries that ``small`` has measured."""
     q = queries.select("query_id", "namespace", F.col("vec").alias("qvec")).withColumn("qn", norm("qvec"))
-    pairs = state.centroids.select(*CENTROID, F.col("vec").alias("cvec")).join(_small(q), "namespace")
+    pairs = state.centroids.select(*CENTROID, F.col("vec").alias("cvec")).join(q, "namespace")
     scored = pairs.withColumn("cscore", cosine("qvec", "cvec", F.col("qn"))).where(usable("cscore"))
     order = Window.partitionBy("query_id", *MANAGER).orderBy(F.desc("cscore"), "centroid_id")
     return scored.withColumn("crank", F.row_number().over(order)).where(F.col("crank") <= n).select("query_id", *CENTROID, "crank", "cscore")
@@ -134,16 +141,17 @@ def nearest_centroids(state: State, queries: DataFrame, n: int) -> DataFrame:
 
 def take_centroids(state: State, queries: DataFrame, n: int) -> tuple[DataFrame, State]:
     """The nearest centroids of each query, and the state without them and their points."""
-    found = nearest_centroids(state, queries, n)
+    found = written(nearest_centroids(state, queries, n), "found")
     gone = found.select(*CENTROID).distinct()
     return found, state.having(state.points.join(gone, CENTROID, "left_anti"), state.centroids.join(gone, CENTROID, "left_anti"))
 
 
 def probe(points: DataFrame, probes: DataFrame, queries: DataFrame, k: Column) -> DataFrame:
     """``probes`` (query_id, centroid, crank, ...) joined with the centroids' points: each query's ``k`` best of each
-    probed centroid, with score and prank. Payloads are left behind; they join by id at the end."""
+    probed centroid, with score and prank. Payloads are left behind; they join by id at the end. ``queries`` are such as
+    ``small`` has measured."""
     q = queries.select("query_id", F.col("vec").alias("qvec"), "k").withColumn("qn", norm("qvec"))
-    rows = points.select(*CENTROID, "id", "seq", "vec").join(probes, CENTROID).join(_small(q), "query_id")
+    rows = points.select(*CENTROID, "id", "seq", "vec").join(probes, CENTROID).join(q, "query_id")
     scored = rows.withColumn("score", cosine("qvec", "vec", F.col("qn"))).where(usable("score")).drop("qvec", "vec", "qn")
     order = Window.partitionBy("query_id", *CENTROID).orderBy(F.desc("score"), "id")
     return scored.withColumn("prank", F.row_number().over(order)).where(F.col("prank") <= k)
@@ -151,6 +159,7 @@ def probe(points: DataFrame, probes: DataFrame, queries: DataFrame, k: Column) -
 
 def centroid_lookup(state: State, queries: DataFrame, now: Now = None) -> DataFrame:
     """(query_id, namespace, node_id, centroid_id, id, seq, prank, score): k nearest live points in every centroid."""
+    queries = small(queries, "queries")
     probes = queries.select("query_id", "namespace").join(state.centroids.select(*CENTROID), "namespace")
     return probe(live(state.points, now), probes, queries, F.col("k")).select("query_id", *CENTROID, "id", "seq", "prank", "score")
 
@@ -158,8 +167,9 @@ def centroid_lookup(state: State, queries: DataFrame, now: Now = None) -> DataFr
 def manager_lookup(state: State, queries: DataFrame, now: Now = None) -> DataFrame:
     """k points per query and manager: the nearest centroid's best first, then the next centroid's, over at most k
     centroids (empty ones use up a probe). Not a global top-k: results aren't ranked anew across centroids."""
+    queries = small(queries, "queries")
     most = queries.agg(F.max("k")).first()[0] or 0
-    probes = nearest_centroids(state, queries, most).join(_small(queries.select("query_id", "k")), "query_id").where("crank <= k").drop("k")
+    probes = ranked_centroids(state, queries, most).join(queries.select("query_id", "k"), "query_id").where("crank <= k").drop("k")
     found = probe(live(state.points, now), probes, queries, F.col("k"))
     order = Window.partitionBy("query_id", *MANAGER).orderBy("crank", "prank")
     return found.withColumn("rank", F.row_number().over(order)).where("rank <= k").select("query_id", *CENTROID, "id", "seq", "crank", "prank", "rank", "score")
@@ -167,7 +177,7 @@ def manager_lookup(state: State, queries: DataFrame, now: Now = None) -> DataFra
 
 def lookup_and_drain(state: State, queries: DataFrame, now: Now = None) -> tuple[DataFrame, State]:
     """``manager_lookup``, and the state without the points found."""
-    found = manager_lookup(state, queries, now)
+    found = written(manager_lookup(state, queries, now), "found")
     return found, move_vector(state.having(points=without(live(state.points, now), found)))
 
 
@@ -179,19 +189,39 @@ def _size_between(low: int, high: int) -> Column:
     return (F.col("n_points") > low) & (F.col("n_points") < high)
 
 
-def split_centroids(state: State, predicate: Column, trim: Column | None = None) -> State:
+#: A centroid's points are counted by age in ranges of about so many.
+_AGE_ROWS = 100_000
+
+
+def _aged(points: DataFrame) -> DataFrame:
+    """``points`` with ``age``: 1 for a centroid's oldest point (by seq, then id), and so on. Counts per range of seq are
+    added up first, so that no task sorts a whole large centroid."""
+    spread = small(points.groupBy(*CENTROID).agg(F.min("seq").alias("__lo"), F.max("seq").alias("__hi"), F.ceil(F.count("*") / _AGE_ROWS).alias("__parts")), "ages")
+    seq, lo, hi = (F.col(c).cast("double") for c in ("seq", "__lo", "__hi"))
+    at = F.coalesce(F.floor((seq - lo) / (hi - lo + 1) * F.col("__parts")), F.lit(0)).alias("__part")
+    dealt = points.join(spread, CENTROID).select(*points.columns, at)
+    sums = dealt.groupBy(*CENTROID, "__part").agg(F.count("*").alias("__n"))
+    base = small(sums.withColumn("__base", F.sum("__n").over(Window.partitionBy(*CENTROID).orderBy("__part")) - F.col("__n")).drop("__n"), "ages")
+    own = F.row_number().over(Window.partitionBy(*CENTROID, "__part").orderBy("seq", "id"))
+    return dealt.withColumn("__own", own).join(base, [*CENTROID, "__part"]).withColumn("age", F.col("__base") + F.col("__own")).drop("__part", "__own", "__base")
+
+
+def split_centroids(state: State, predicate: Column, trim: Column | None = None, times: Column | None = None) -> State:
     """Centroids that satisfy ``predicate`` (over n_points) give their ``trim`` oldest points, half by default, to a new
-    centroid, which comes after all others of its manager."""
+    centroid, which comes after all others of its manager; and the next oldest to a further one, ``times`` (1) in all."""
     trim = F.floor(F.col("n_points") / 2) if trim is None else trim
+    times = F.lit(1) if times is None else times
     last = state.centroids.groupBy(*MANAGER).agg(F.max("centroid_id").alias("last_id"), F.max("ord").alias("last_ord"))
     order = Window.partitionBy(*MANAGER).orderBy("ord", "centroid_id")  # over centroids
-    halves = state.sizes().where(predicate).withColumn("trim", trim.cast("long")).where("trim > 0").withColumn("k", F.row_number().over(order))
-    halves = halves.join(last, MANAGER).select(*CENTROID, "trim", (F.col("last_id") + F.col("k")).alias("new_id"), (F.col("last_ord") + F.col("k")).alias("new_ord"))
-    age = Window.partitionBy(*CENTROID).orderBy("seq", "id")
-    cut = state.points.join(_small(halves), CENTROID)
-    cut = cut.withColumn("centroid_id", F.when(F.row_number().over(age) <= F.col("trim"), F.col("new_id")).otherwise(F.col("centroid_id")))
-    rest = state.points.join(_small(halves.select(*CENTROID)), CENTROID, "left_anti")
-    new = halves.join(state.centroids.select(*CENTROID, "vec"), CENTROID).select(*MANAGER, F.col("new_id").alias("centroid_id"), F.col("new_ord").alias("ord"), "vec")
+    halves = state.sizes().where(predicate).withColumns({"trim": trim.cast("long"), "times": times.cast("long")}).where("trim > 0 AND times > 0")
+    halves = halves.withColumn("before", F.sum("times").over(order) - F.col("times")).join(last, MANAGER)
+    halves = small(halves.select(*CENTROID, "trim", "times", (F.col("last_id") + F.col("before") + 1).alias("first_id"), (F.col("last_ord") + F.col("before") + 1).alias("first_ord")), "halves")
+    aged = _aged(state.points.join(halves.select(*CENTROID), CENTROID, "left_semi")).join(halves, CENTROID)
+    piece = F.floor((F.col("age") - 1) / F.col("trim"))
+    cut = aged.withColumn("centroid_id", F.when(piece < F.col("times"), F.col("first_id") + piece).otherwise(F.col("centroid_id")))
+    rest = state.points.join(halves.select(*CENTROID), CENTROID, "left_anti")
+    new = halves.join(state.centroids.select(*CENTROID, "vec"), CENTROID).withColumn("k", F.explode(F.expr("sequence(0L, times - 1)")))
+    new = new.select(*MANAGER, (F.col("first_id") + F.col("k")).alias("centroid_id"), (F.col("first_ord") + F.col("k")).alias("ord"), "vec")
     return move_vector(state.having(rest.select(*POINT_COLUMNS).unionByName(cut.select(*POINT_COLUMNS)), state.centroids.unionByName(new)))
 
 
@@ -212,46 +242,64 @@ def merge_plan(state: State, low: int, high: int) -> DataFrame:
     rows = state.sizes().join(state.centroids.select(*CENTROID, "vec"), CENTROID)
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         pdf = pdf.sort_values(["ord", "centroid_id"])
-        ids, n, vecs = pdf.centroid_id.tolist(), pdf.n_points.tolist(), [np.asarray(v, float) for v in pdf.vec]
-        into: dict[int, int] = {}
-
-        def similarity(a, b) -> float:
-            la, lb = float(np.linalg.norm(a)), float(np.linalg.norm(b))
-            if len(a) != len(b) or (la == 0) != (lb == 0):
-                return float("nan")
-            return 0.0 if la == 0 else float(a @ b) / la / lb
-
+        ids, n = pdf.centroid_id.to_numpy(), pdf.n_points.to_numpy().copy()
+        own = [np.asarray(v, float) for v in pdf.vec]
+        dims = np.array([len(v) for v in own])
+        vecs, at = {}, np.zeros(len(own), int)  # a matrix per dimension, and each centroid's row in it
+        for d in np.unique(dims):
+            of = np.flatnonzero(dims == d)
+            vecs[d], at[of] = np.array([own[j] for j in of]).reshape(len(of), d), np.arange(len(of))
+        into = np.full(len(ids), -1)
         for i in range(len(ids)):
-            if i in into or not low < n[i] < high:
+            if into[i] >= 0 or not low < n[i] < high:
                 continue
-            others = [(-s, j) for j in range(len(ids)) if j != i and j not in into and not np.isnan(s := similarity(vecs[i], vecs[j]))]
-            for _, j in sorted(others):
+            x = vecs[dims[i]]
+            others = np.flatnonzero((dims == dims[i]) & (into < 0))
+            others = others[others != i]
+            norms, mine = np.linalg.norm(x[at[others]], axis=1), np.linalg.norm(x[at[i]])
+            others, norms = others[(norms == 0) == (mine == 0)], norms[(norms == 0) == (mine == 0)]
+            near = x[at[others]] @ x[at[i]] / norms / mine if mine else np.zeros(len(others))
+            others, near = others[np.isfinite(near)], near[np.isfinite(near)]
+            for j in others[np.lexsort((others, -near))]:
                 total = n[i] + n[j]
                 if n[j]:
-                    vecs[i] = (n[i] * vecs[i] + n[j] * vecs[j]) / total if n[i] else vecs[j]
-                n[i], n[j] = total, 0
-                into[j] = i
+                    x[at[i]] = (n[i] * x[at[i]] + n[j] * x[at[j]]) / total if n[i] else x[at[j]]
+                n[i], n[j], into[j] = total, 0, i
                 if not low < n[i] < high:
                     break
-        final = lambda j: final(into[j]) if j in into else j
-        return pd.DataFrame({"namespace": pdf.namespace.iloc[0], "node_id": pdf.node_id.iloc[0], "centroid_id": [ids[j] for j in into], "into_id": [ids[final(j)] for j in into]}).astype({"centroid_id": "int64", "into_id": "int64"})
+        final = np.where(into >= 0, into, np.arange(len(ids)))
+        while (final[final] != final).any():
+            final = final[final]
+        gone = np.flatnonzero(into >= 0)
+        return pd.DataFrame({"namespace": pdf.namespace.iloc[0], "node_id": pdf.node_id.iloc[0], "centroid_id": ids[gone], "into_id": ids[final[gone]]}).astype({"centroid_id": "int64", "into_id": "int64"})
 
     return rows.groupBy(*MANAGER).applyInPandas(greedy, _MERGED)
 
 
 def merge_centroids(state: State, low: int, high: int) -> State:
-    plan = _small(merge_plan(state, low, high))
+    plan = small(merge_plan(state, low, high))
     points = state.points.join(plan, CENTROID, "left").withColumn("centroid_id", F.coalesce("into_id", "centroid_id"))
     return move_vector(state.having(points, state.centroids.join(plan, CENTROID, "left_anti")))
 
 
 def distribute_internal(state: State, n: int, now: Now = None) -> State:
     """The ``n`` points of each manager that are least like their centroid go to the nearest centroid of the manager (their
-    own included): one reassignment step."""
+    own included): one reassignment step. A point that none can take stays where it was."""
     taken, rest = drain(state, n, now, ordered=True)
-    placed = assign(rest, taken, now)
-    back = placed.join(taken.select("id", "seq", F.col("centroid_id").alias("was")), ["id", "seq"]).withColumn("centroid_id", F.coalesce("centroid_id", "was"))
+    placed = assign(rest, taken.withColumn("was", F.col("centroid_id")), now)
+    back = placed.withColumn("centroid_id", F.coalesce("centroid_id", "was"))
     return move_vector(rest.having(points=rest.points.unionByName(back.select(*POINT_COLUMNS))))
+
+
+def distribute_to(state: State, receivers: State, n: int, now: Now = None) -> tuple[State, State]:
+    """The ``n`` points of each manager of ``state`` that are least like their centroid go to the nearest centroid of
+    ``receivers`` in their namespace, whatever its node: (state, receivers) afterwards. A point that none can take stays
+    where it was."""
+    taken, rest = drain(state, n, now, ordered=True)
+    to = receivers.centroids.select("namespace", F.struct("node_id", "centroid_id").alias("receiver_id"), "vec")
+    placed = written(nearest(taken, to, 1, ["namespace"], keep=True), "placed")
+    moved = placed.where("receiver_id IS NOT NULL").withColumns({"node_id": F.col("receiver_id.node_id"), "centroid_id": F.col("receiver_id.centroid_id")})
+    stay = placed.where("receiver_id IS NULL")
+    after = receivers.having(points=receivers.points.unionByName(moved.select(*POINT_COLUMNS)))
+    return move_vector(rest.having(points=rest.points.unionByName(stay.select(*POINT_COLUMNS)))), move_vector(after)

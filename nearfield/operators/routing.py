@@ -10,29 +10,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import cosine, norm
-from nearfield.operators.centroids import Now, _small, add_points, assign, drain, live, move_vector, nearest_centroids, probe, without
-from nearfield.operators.search import nearest, usable
+from nearfield.operators.centroids import Now, add_points, assign, drain, live, move_vector, probe, ranked_centroids, without
+from nearfield.operators.search import knn_batch, nearest, usable
 from nearfield.plans.state import CENTROID, MANAGER, POINT_COLUMNS, State
+from nearfield.sources.scratch import small, written
 
 ROUTES = ("fast", "accurate", "random")
 
 
+def _draw(seed: int, *parts: Column) -> Column:
+    """52 bits of the MD5 of the seed and the parts, joined by colons: any engine draws the same."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts).cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def random_rank(key: Column, node: Column, seed: int) -> Column:
     """A uniform order of nodes for each key, the same whenever the seed is."""
-    return F.xxhash64(F.lit(seed), key, node)
+    return _draw(seed, key.cast("string"), node).cast("double")
 
 
 def best_fit_nodes(state: State, queries: DataFrame, route: str = "fast", seed: int = 0) -> DataFrame:
     """(query_id, namespace, node_id, nrank, nscore): the nodes that can answer each query, best first."""
+    return ranked_nodes(state, small(queries, "queries"), route, seed)
+
+
+def ranked_nodes(state: State, queries: DataFrame, route: str, seed: int) -> DataFrame:
+    """``best_fit_nodes`` of queries that ``small`` has measured."""
     if route not in ROUTES:
         raise ValueError(f"route must be one of {ROUTES}")
     q = queries.select("query_id", "namespace", F.col("vec").alias("qvec")).withColumn("qn", norm("qvec"))
     if route == "random":
-        pairs = state.centroids.select(*MANAGER).distinct().join(_small(q), "namespace")
-        scored = pairs.withColumn("nscore", random_rank(F.col("query_id"), F.col("node_id"), seed).cast("double"))
+        pairs = state.centroids.select(*MANAGER).distinct().join(q, "namespace")
+        scored = pairs.withColumn("nscore", random_rank(F.col("query_id"), F.col("node_id"), seed))
     else:
         table = state.nodes() if route == "fast" else state.centroids.select(*MANAGER, "vec")
-        scored = table.join(_small(q), "namespace").withColumn("nscore", cosine("qvec", "vec", F.col("qn"))).where(usable("nscore"))
+        scored = table.join(q, "namespace").withColumn("nscore", cosine("qvec", "vec", F.col("qn"))).where(usable("nscore"))
         if route == "accurate":
             scored = scored.groupBy("query_id", *MANAGER).agg(F.max("nscore").alias("nscore"))
     order = Window.partitionBy("query_id").orderBy(F.desc("nscore"), "node_id")
@@ -45,13 +56,14 @@ def get_points(state: State, queries: DataFrame, route: str = "fast", now: Now =
     Nodes are visited in routing order, and within a node centroids from the nearest on. A node is asked for what is
     still missing, and probes at most so many centroids; results aren't ranked anew across centroids or nodes.
     """
+    queries = small(queries, "queries")
     most = queries.agg(F.max("k")).first()[0] or 0
-    ks = _small(queries.select("query_id", F.greatest("k", F.lit(0)).alias("k")))
+    ks = queries.select("query_id", F.greatest("k", F.lit(0)).alias("k"))
     alive = live(state.points, now)
-    sizes = alive.groupBy(*CENTROID).agg(F.count("*").alias("n"))
-    probes = nearest_centroids(state, queries, most).join(_small(sizes), CENTROID, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    sizes = small(alive.groupBy(*CENTROID).agg(F.count("*").alias("n")), "sizes")
+    probes = written(ranked_centroids(state, queries, most).join(sizes, CENTROID, "left").withColumn("n", F.coalesce("n", F.lit(0))), "probes")
     per_node = probes.groupBy("query_id", *MANAGER).agg(F.transform(F.array_sort(F.collect_list(F.struct("crank", "n"))), lambda e: e["n"]).alias("sizes"))
-    visits = best_fit_nodes(state, queries, route, seed).join(per_node, ["query_id", *MANAGER]).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("nrank", "node_id", "sizes"))).alias("visits"))
+    visits = ranked_nodes(state, queries, route, seed).join(per_node, ["query_id", *MANAGER]).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("nrank", "node_id", "sizes"))).alias("visits"))
     # what each visit may probe: what is missing when its turn comes
     plan = F.aggregate(
         "visits",
@@ -63,7 +75,7 @@ def get_points(state: State, queries: DataFrame, route: str = "fast", now: Now =
         lambda acc: acc["asked"],
     )
     asked = visits.join(ks, "query_id").select("query_id", F.explode(plan).alias("v")).where("v.ask > 0").select("query_id", "v.nrank", "v.node_id", "v.ask")
-    probes = probes.drop("n").join(_small(asked), ["query_id", "node_id"]).where("crank <= ask")
+    probes = probes.drop("n").join(small(asked), ["query_id", "node_id"]).where("crank <= ask")
     found = probe(alive, probes, queries, F.col("ask"))
     order = Window.partitionBy("query_id").orderBy("nrank", "crank", "prank")
     return found.withColumn("rank", F.row_number().over(order)).where("rank <= k").select("query_id", *CENTROID, "id", "seq", "rank", "score")
@@ -71,32 +83,29 @@ def get_points(state: State, queries: DataFrame, route: str = "fast", now: Now =
 
 def get_and_drain(state: State, queries: DataFrame, route: str = "fast", now: Now = None, seed: int = 0) -> tuple[DataFrame, State]:
     """``get_points``, and the state without what the queries that drain have found."""
-    found = get_points(state, queries, route, now, seed)
-    taken = found.join(_small(queries.where("drain").select("query_id")), "query_id", "left_semi")
+    found = written(get_points(state, queries, route, now, seed), "found")
+    taken = found.join(queries.where("drain").select("query_id"), "query_id", "left_semi")
     return found, move_vector(state.having(points=without(live(state.points, now), taken)))
 
 
 def exact_top_k(state: State, queries: DataFrame, now: Now = None) -> DataFrame:
     """(query_id, id, rank, score): the true k most similar live points of the namespace, an addition of ours."""
-    q = queries.select("query_id", "namespace", F.col("vec").alias("qvec"), "k").withColumn("qn", norm("qvec"))
-    scored = live(state.points, now).select("namespace", "id", "vec").join(_small(q), "namespace").withColumn("score", cosine("qvec", "vec", F.col("qn"))).where(usable("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= k").select("query_id", "id", "rank", "score")
+    return knn_batch(queries, live(state.points, now), F.col("k"), on=["namespace"])
 
 
 def route_points(state: State, points: DataFrame, route: str = "fast", seed: int = 0) -> DataFrame:
     """``points`` (namespace, id, vec, ...) with the node_id that ranks first for each; a point that no node can rank goes
-    to a random one of ``nodes``' node_ids (of all namespaces)."""
+    to a random one of ``nodes``' node_ids (of all namespaces). One line for each row, whatever ids repeat."""
+    if route not in ROUTES:
+        raise ValueError(f"route must be one of {ROUTES}")
     points = points.drop("node_id")
-    by_node = state.nodes() if route == "fast" else state.centroids.select(*MANAGER, "vec")
-    spots = _small(state.centroids.select("node_id").distinct().agg(F.array_sort(F.collect_set("node_id")).alias("all_nodes")))
-    lucky = F.element_at("all_nodes", F.pmod(F.xxhash64(F.lit(seed), "id"), F.size("all_nodes")).cast("int") + 1)
+    spots = F.broadcast(state.centroids.select("node_id").distinct().agg(F.array_sort(F.collect_set("node_id")).alias("all_nodes")))  # one row: the nodes' names
+    lucky = F.when(F.size("all_nodes") > 0, F.element_at("all_nodes", (_draw(seed, F.col("id").cast("string")) % F.greatest(F.size("all_nodes"), F.lit(1))).cast("int") + 1))
     if route == "random":
         return points.crossJoin(spots).withColumn("node_id", lucky).drop("all_nodes")
-    receivers = by_node.groupBy("namespace", "node_id", "vec").count().select("namespace", F.struct("node_id", "vec").alias("receiver_id"), "vec")
-    best = nearest(points, receivers, 1, ["namespace"], receiver="receiver_id").withColumn("node_id", F.col("receiver_id.node_id")).drop("receiver_id", "rank", "score")
-    rest = points.join(best.select("id", "seq"), ["id", "seq"], "left_anti").select(*points.columns).crossJoin(spots).withColumn("node_id", lucky).drop("all_nodes")
-    return best.unionByName(rest)
+    by_node = state.nodes() if route == "fast" else state.centroids.select(*MANAGER, "vec")
+    best = nearest(points, by_node, 1, ["namespace"], receiver="node_id", keep=True).drop("rank", "score")
+    return best.crossJoin(spots).withColumn("node_id", F.coalesce("node_id", lucky)).drop("all_nodes")
 
 
 def put_points(state: State, points: DataFrame, route: str = "fast", now: Now = None, threshold: int = 0, seed: int = 0) -> tuple[DataFrame, State]:
@@ -106,13 +115,13 @@ def put_points(state: State, points: DataFrame, route: str = "fast", now: Now =
 
 def distribute(state: State, n: int, route: str = "fast", now: Now = None) -> State:
     """The ``n`` points of each manager that are least like their centroid move to the node that routing picks for them
-    (maybe their own), and to its nearest centroid. Without another node nothing is lost."""
+    (maybe their own), and to its nearest centroid. A point that no node can take stays where it was."""
     taken, rest = drain(state, n, now, ordered=True)
-    routed = route_points(rest, taken.drop("centroid_id"), route)
-    placed = assign(rest, routed, now)
-    back = placed.where("reason IS NULL").select(*POINT_COLUMNS)
-    kept = taken.join(back.select("id", "seq"), ["id", "seq"], "left_anti").select(*POINT_COLUMNS)
-    return move_vector(rest.having(points=rest.points.unionByName(back).unionByName(kept)))
+    was = taken.withColumns({"was_node": F.col("node_id"), "was": F.col("centroid_id")})
+    placed = assign(rest, route_points(rest, was, route), now)
+    stays = F.col("reason").isNotNull()
+    back = placed.withColumns({"node_id": F.when(stays, F.col("was_node")).otherwise(F.col("node_id")), "centroid_id": F.coalesce("centroid_id", "was")})
+    return move_vector(rest.having(points=rest.points.unionByName(back.select(*POINT_COLUMNS))))
 
 
 def steal_plan(state: State, namespace: str, source: str, target: str, limit: int) -> DataFrame:
@@ -123,22 +132,25 @@ def steal_plan(state: State, namespace: str, source: str, target: str, limit: in
     # a target without the namespace begins at the source's vector
     own = nodes.where(F.col("node_id").isin(source, target)).orderBy((F.col("node_id") == target).desc()).limit(1).select(F.col("vec").alias("tvec"))
     scored = theirs.join(state.centroids.select(*CENTROID, "vec"), CENTROID).crossJoin(F.broadcast(own)).withColumn("score", cosine("vec", "tvec")).where(usable("score"))
-    order = Window.orderBy(F.desc("score"), "ord", "centroid_id").rowsBetween(Window.unboundedPreceding, -1)  # over one node's centroids
-    return scored.withColumn("before", F.coalesce(F.sum("n_points").over(order), F.lit(0))).where(F.col("before") < limit).select("centroid_id", "n_points", "before")
+    # counted up in 1,025 ranges of the score first, so that no task sorts all centroids of a node
+    scored = written(scored.withColumn("part", F.floor((1 - F.col("score")) * 512).cast("int")).select("centroid_id", "ord", "n_points", "score", "part"), "steal")
+    sums = scored.groupBy("part").agg(F.sum("n_points").alias("all"))
+    base = F.broadcast(sums.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("base")))
+    own = Window.partitionBy("part").orderBy(F.desc("score"), "ord", "centroid_id")
+    before = (F.col("base") + F.sum("n_points").over(own) - F.col("n_points")).alias("before")
+    return scored.join(base, "part").select("centroid_id", "n_points", before).where(F.col("before") < limit)
 
 
 def steal_centroids(state: State, namespace: str, source: str, target: str, limit: int) -> State:
-    """Move what ``steal_plan`` names; moved centroids come after the target's own."""
-    plan = _small(steal_plan(state, namespace, source, target, limit))
+    """Move what ``steal_plan`` names; moved centroids come after the target's own, numbered by the points before them."""
+    plan = steal_plan(state, namespace, source, target, limit)
     mine = (F.col("namespace") == namespace) & (F.col("node_id") == target)
     last = state.centroids.where(mine).agg(F.coalesce(F.max("centroid_id") + 1, F.lit(0)).alias("i"), F.coalesce(F.max("ord") + 1, F.lit(0)).alias("o"))
-    moved = plan.crossJoin(F.broadcast(last)).select(
-        F.lit(namespace).alias("namespace"), F.lit(source).alias("node_id"), "centroid_id",
-        (F.row_number().over(Window.orderBy("before", "centroid_id")) - 1 + F.col("i")).alias("new_id"), (F.row_number().over(Window.orderBy("before", "centroid_id")) - 1 + F.col("o")).alias("new_ord"),
-    )
+    moved = plan.crossJoin(F.broadcast(last)).select(F.lit(namespace).alias("namespace"), F.lit(source).alias("node_id"), "centroid_id", (F.col("before") + F.col("i")).alias("new_id"), (F.col("before") + F.col("o")).alias("new_ord"))
+    moved = small(moved, "moved")
 
     def renamed(df: DataFrame) -> DataFrame:
-        out = df.join(_small(moved), CENTROID, "left")
+        out = df.join(moved, CENTROID, "left")
         out = out.withColumn("node_id", F.when(F.col("new_id").isNotNull(), F.lit(target)).otherwise(F.col("node_id"))).withColumn("centroid_id", F.coalesce("new_id", "centroid_id"))
         return out.withColumn("ord", F.coalesce("new_ord", "ord")) if "ord" in df.columns else out
 
@@ -154,7 +166,7 @@ def load_balance_plan(state: State) -> DataFrame:
     """
     nodes = state.centroids.select("node_id").distinct()
     held = state.centroids.select(*MANAGER).distinct().groupBy("namespace").agg(F.count("*").alias("holders"))
-    counts = state.centroids.select("namespace").distinct().crossJoin(_small(nodes)).join(state.points.groupBy(*MANAGER).agg(F.count("*").alias("n")), MANAGER, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counts = state.centroids.select("namespace").distinct().crossJoin(small(nodes)).join(state.points.groupBy(*MANAGER).agg(F.count("*").alias("n")), MANAGER, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     every = counts.groupBy("namespace").agg(F.sum("n").alias("total"), F.count("*").alias("nodes")).join(held, "namespace")
     every = every.withColumn("mean", F.expr("total div holders")).withColumn("margin", F.floor(0.4 * F.col("mean")))
     low = counts.join(every, "namespace").where("n <= mean - margin").withColumn("n_transfer", F.expr("(mean - n) div nodes div 3")).where("n_transfer > 0")

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import Metric, cosine, l1_distance, norm
+from nearfield.sources.scratch import BROADCAST_BYTES, measured, written
 
-#: Sides of at most so many rows are broadcast; larger ones meet in blocks.
-BROADCAST_ROWS = 20_000
+#: Rows of a block, where a side is too large to stand beside every row of the other.
 BLOCK_ROWS = 1024
 
 
@@ -56,57 +56,73 @@ def kfn_l1(pool: DataFrame, target: Column, k: int, **names: str) -> DataFrame:
     return top_k(pool, target, k, l1_distance, True, **names)
 
 
-def packed(receivers: DataFrame, on: list[str], id: str, value: str = "vec", extra: list[str] | None = None) -> DataFrame:
-    """Receivers gathered into arrays of at most some ``BLOCK_ROWS`` per ``on`` key: (on, block, rs), rs with id, v, n and ``extra``."""
-    n = receivers.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    entry = F.struct(F.col(id).alias("id"), F.col(value).alias("v"), norm(value).alias("n"), *(extra or []))
-    block = F.pmod(F.xxhash64(id), F.lit(blocks)).alias("block")
-    out = receivers.groupBy(*on, block).agg(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["id"] < b["id"], -1).otherwise(1)).alias("rs"))
-    return F.broadcast(out) if n <= BROADCAST_ROWS else out
+def _scored(rows: DataFrame, k: int, value: str, metric: Metric | None, largest: bool) -> DataFrame:
+    """``rows`` (with ``value``, its norm __n and receivers rs) with __best: the k best usable (s, id), smaller s first."""
+    sign = -1.0 if largest else 1.0
 
+    def score(r: Column) -> Column:
+        return cosine(F.col(value), r["v"], F.col("__n"), r["n"]) if metric is None else metric(F.col(value), r["v"])
 
-def nearest(points: DataFrame, receivers: DataFrame, k: int, on: list[str] | None = None, key: str = "id", receiver: str = "receiver_id", value: str = "vec", metric: Metric | None = None, largest: bool = True) -> DataFrame:
-    """``points`` with ``receiver_id``, ``rank`` and ``score``: each point's k best receivers among those with the same ``on`` columns.
+    good = F.filter(F.transform("rs", lambda r: F.struct((score(r) * sign).alias("s"), r["id"].alias("id"))), lambda e: usable(e["s"]))
+    best = F.filter(F.array(F.array_min(good)), lambda e: e.isNotNull()) if k == 1 else F.slice(F.array_sort(good), 1, k)
+    return rows.withColumn("__best", best).drop("rs", "__n")
 
-    ``key`` must identify points. Receivers are packed into arrays that stand beside each point, so scoring needs neither
-    a row per pair nor a shuffle of the points while the receivers are few; more receivers come in several blocks, whose
-    k best are ranked once more per point.
-    """
-    _check_k(k)
-    on = on or []
-    table = packed(receivers, on, receiver, value)
-    rows = points.withColumn("__n", norm(value))
-    both = rows.join(table, on) if on else rows.crossJoin(table)
 
-    def score(r: Column) -> Column:
-        return cosine(F.col(value), r["v"], F.col("__n"), r["n"]) if metric is None else metric(F.col(value), r["v"])
+def nearest(
+    points: DataFrame, receivers: DataFrame, k: int, on: list[str] | None = None, receiver: str = "receiver_id", value: str = "vec", metric: Metric | None = None, largest: bool = True, keep: bool = False, limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """``points`` with ``receiver_id``, ``rank`` and ``score``: each row's k best receivers among those with the same ``on``
+    columns, ties to the smaller receiver. With ``keep``, rows without any have one line of nulls. Columns of these three
+    names are replaced. Every row of ``points`` is a point of its own, whatever its columns repeat.
 
-    sign = -1.0 if largest else 1.0
-    scored = F.transform("rs", lambda r: F.struct((score(r) * sign).alias("s"), r["id"].alias("id")))
-    good = F.filter(scored, lambda e: usable(e["s"]))
-    best = F.slice(F.array_sort(good), 1, k) if k != 1 else F.filter(F.array(F.array_min(good)), lambda e: e.isNotNull())
-    out = both.withColumn("__best", best if k else F.slice(F.array_sort(good), 1, 0)).drop("rs", "block", "__n")
-    out = out.select("*", F.posexplode("__best").alias("__pos", "__e")).select(*[c for c in out.columns if c != "__best"], F.col("__e.id").alias(receiver), F.col("__pos").alias("__pos"), (F.col("__e.s") * sign).alias("score"))
-    if receivers.limit(BLOCK_ROWS + 1).count() <= BLOCK_ROWS:
-        return out.withColumn("rank", F.col("__pos") + 1).drop("__pos")
-    order = Window.partitionBy(key).orderBy(F.desc("score") if largest else F.asc("score"), receiver)
-    return out.drop("__pos").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def knn_batch(queries: DataFrame, pool: DataFrame, k: int, metric: Metric | None = None, largest: bool = True) -> DataFrame:
-    """(query_id, id, rank, score): k best rows of ``pool`` (id, vec) for each of ``queries`` (query_id, vec).
-
-    The queries are packed into blocks that meet every row of the pool once; a partial top-k per partition of the pool
-    isn't needed, since window group limits keep k rows per query and task.
+    Receivers of at most ``limit`` bytes are packed into one array per ``on`` key that stands beside each point: neither
+    a row per pair nor a shuffle of points. Beyond, points and receivers meet in blocks dealt by ``on`` and block, so that
+    no task holds a whole hot key, and the blocks' best are ranked once more per numbered point. Both give the same rows.
     """
     _check_k(k)
-    table = packed(queries, [], "query_id")
-    rows = pool.select("id", "vec", norm("vec").alias("__n")).crossJoin(table)
+    on = on or []
+    points = points.drop(receiver, "rank", "score")
+    table, n, size = measured(receivers.select(*on, F.col(receiver).alias("id"), F.col(value).alias("v"), norm(value).alias("n")), "receivers")
+    if size <= limit:
+        packed = F.broadcast(table.groupBy(*on).agg(F.collect_list(F.struct("id", "v", "n")).alias("rs")))
+        rows = points.withColumn("__n", norm(value))
+        found = _scored(rows.join(packed, on, "left") if on else rows.join(packed, F.lit(True), "left"), k, value, metric, largest)
+    else:
+        blocks = -(-n // BLOCK_ROWS)
+        block = F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("__block")
+        packed = table.groupBy(*on, block).agg(F.collect_list(F.struct("id", "v", "n")).alias("rs"))
+        numbered = written(points.withColumn("__row", F.monotonically_increasing_id()), "points")
+        dealt = numbered.select("__row", *on, value, norm(value).alias("__n"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
+        each = _scored(dealt.join(packed, [*on, "__block"]), k, value, metric, largest).select("__row", "__best")
+        all_best = each.groupBy("__row").agg(F.slice(F.array_sort(F.flatten(F.collect_list("__best"))), 1, k).alias("__best"))
+        found = numbered.join(all_best, "__row", "left").drop("__row")
+    out = found.select("*", (F.posexplode_outer if keep else F.posexplode)("__best").alias("__pos", "__e"))
+    return out.select(*points.columns, F.col("__e.id").alias(receiver), (F.col("__pos") + 1).alias("rank"), (F.col("__e.s") * (-1.0 if largest else 1.0)).alias("score"))
+
+
+def knn_batch(queries: DataFrame, pool: DataFrame, k: int | Column, metric: Metric | None = None, largest: bool = True, on: list[str] | None = None) -> DataFrame:
+    """(query_id, id, rank, score): k best rows of ``pool`` (id, vec) for each of ``queries`` (query_id, vec), among those
+    with the same ``on`` columns; ``k`` may be a column of the queries.
+
+    The queries are packed into blocks that meet every row of the pool once. Spark's window group limit keeps k rows per
+    query and task before anything is shuffled.
+    """
+    if isinstance(k, int):
+        _check_k(k)
+    on, k = on or [], F.lit(k) if isinstance(k, int) else k
+    table, n, size = measured(queries.select(*on, "query_id", "vec", norm("vec").alias("n"), k.alias("k")), "queries")
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // BLOCK_ROWS)))).alias("__block")
+    packed = table.groupBy(*on, block).agg(F.collect_list(F.struct("query_id", F.col("vec").alias("v"), "n", "k")).alias("rs"))
+    packed = F.broadcast(packed) if size <= BROADCAST_BYTES else packed
+    rows = pool.select(*on, "id", "vec", norm("vec").alias("__n"))
+    rows = rows.join(packed, on) if on else rows.crossJoin(packed)
 
     def score(q: Column) -> Column:
         return cosine(F.col("vec"), q["v"], F.col("__n"), q["n"]) if metric is None else metric(F.col("vec"), q["v"])
 
-    pairs = rows.select("id", F.explode(F.transform("rs", lambda q: F.struct(q["id"].alias("query_id"), score(q).alias("score")))).alias("e")).select("id", "e.*").where(usable("score"))
+    scores = F.filter(F.transform("rs", lambda q: F.struct(q["query_id"].alias("query_id"), q["k"].alias("k"), score(q).alias("score"))), lambda e: usable(e["score"]))
+    pairs = rows.select("id", F.explode(scores).alias("e")).select("id", "e.*")
     order = Window.partitionBy("query_id").orderBy(F.desc("score") if largest else F.asc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
+    most = table.agg(F.max("k")).first()[0] or 0
+    ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return ranked.where(F.col("rank") <= F.col("k")).select("query_id", "id", "rank", "score")

@@ -422,5 +422,5 @@ def lineitem_assign(spark, sf_dir):
     parts = [F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.col("l_discount") * 100, F.col("l_tax") * 100]
     rows = li.select("l_orderkey", "l_linenumber", F.array(*parts).alias("vec"))
     means = li.groupBy(F.concat("l_returnflag", "l_linestatus").alias("receiver_id")).agg(F.array(*[F.avg(p) for p in parts]).alias("vec"))
-    found = S.nearest(rows, means, 1, key="l_orderkey")
+    found = S.nearest(rows, means, 1)
     return found.groupBy(F.col("receiver_id").alias("node_id")).agg(F.count("*").alias("n_rows"), F.round(F.sum("score"), 3).alias("score_sum"))

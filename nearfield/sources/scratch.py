@@ -1,4 +1,4 @@
-"""Tables written to the folder that all executors share."""
+"""Tables written to the folder that all executors share, and sizes measured as they are written."""
 
 from __future__ import annotations
 
@@ -6,15 +6,22 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
+#: Tables of at most so many bytes (as rows hold them, not as files do) are broadcast.
+BROADCAST_BYTES = 64 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; one of our own only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where it is unset, a session that runs in
+    this process alone gets a folder of our own; on a cluster that is an error, since executors have disks of their own."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="nearfield-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -34,6 +41,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _bytes(value: Column, kind: DataType) -> Column:
+    """About what a value takes in a row."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, StructType, ArrayType)):
+            inner = F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + _bytes(x, kind.elementType))
+            return F.coalesce(inner, F.lit(0).cast("long")) + 16
+        return F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0)).cast("long") * 8 + 16
+    return F.lit(8).cast("long")
+
+
+def measured(df: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+    """``written``, with the numbers of rows and bytes, which are counted as the rows are written."""
+    seen = Observation()
+    size = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("long"))
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")), name)
+    return table, seen.get["rows"], seen.get["bytes"]
+
+
+def small(df: DataFrame, name: str = "small", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` written, and marked for broadcast if it has at most ``limit`` bytes; what is above it runs once only."""
+    table, _, size = measured(df, name)
+    return F.broadcast(table) if size <= limit else table
+
+
 def forget(*frames: DataFrame) -> None:
     """Remove the files of superseded ``written`` tables (their inputs must not be needed again)."""
     for df in frames:

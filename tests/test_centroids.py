@@ -46,6 +46,38 @@ def test_auto_split(spark):
     assert sorted(sizes(s).values()) == [1, 1]
 
 
+def test_auto_split_goes_on_until_all_are_below(spark):
+    vecs = [(1, 1 + i / 100) for i in range(23)]
+    _, s = C.add_points(state(spark, {0: ((1, 1), [])}), new_points(spark, *vecs), NOW, threshold=6)
+    # the oldest three go again and again while six or more are left
+    assert sizes(s) == {(N, 0): 5, **{(N, k): 3 for k in range(1, 7)}}
+    by = {k[1]: v for k, v in vectors(s.points).items()}
+    assert by[1] == vecs[:3] and by[6] == vecs[15:18] and by[0] == vecs[18:]
+
+
+def test_ages_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(C, "_AGE_ROWS", 3)
+    s = state(spark, {0: ((1, 1), [(1, i) for i in range(20)]), 1: ((1, 1), [(1, i) for i in range(5)])})
+    got = sorted((r.centroid_id, r.age, r.seq) for r in C._aged(s.points).collect())
+    assert got == [(0, i + 1, i) for i in range(20)] + [(1, i + 1, 20 + i) for i in range(5)]
+
+
+def test_distribution_to_given_receivers(spark):
+    a = C.move_vector(state(spark, {0: ((1, 3), [(1, 3)] * 3 + [(1, 9)])}))
+    b = state(spark, {"name": "n5", 0: ((1, 9), []), 1: ((9, 1), [])}, {"name": "n6", 0: ((1, 9, 1), [])})
+    left, got = C.distribute_to(a, b, 1, NOW)
+    assert vectors(left.points) == {(N, 0): [(1, 3)] * 3} and vectors(got.points) == {("n5", 0): [(1, 9)]}
+    left, got = C.distribute_to(a, state(spark, {"name": "n6", 0: ((1, 9, 1), [])}), 1, NOW)
+    assert len(vectors(left.points)[N, 0]) == 4 and got.points.count() == 0
+
+
+def test_one_id_in_two_managers(spark):
+    s = state(spark, {0: ((1, 1), [])}, {0: ((1, 2), [])})
+    rows = new_points(spark, (1, 1)).unionByName(new_points(spark, (1, 1), node="n1")).unionByName(new_points(spark, (1, 2)).withColumn("seq", F.lit(1)))
+    report, after = C.add_points(s, rows, NOW)
+    assert report.where("reason IS NULL").count() == 3 and sizes(after) == {("n0", 0): 2, ("n1", 0): 1}
+
+
 def test_expiry(spark):
     s = state(spark, {0: ((3, 3), [((2, 2), PAST), ((3, 3), FUTURE), ((4, 4), PAST)]), 1: ((1, 9), [((1, 9), PAST)])})
     after = C.expire(s, NOW)
