@@ -10,7 +10,6 @@ what precedes and what follows it.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -59,7 +58,30 @@ def parse(formatted: str) -> list[Turn]:
 
 
 def _common(a: str, b: str) -> int:
-    return len(os.path.commonprefix([a, b]))
+    """How many characters ``a`` and ``b`` begin with alike; comparisons of slices halve the range that is left."""
+    if b.startswith(a) or a.startswith(b):
+        return min(len(a), len(b))
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def _common_end(a: str, b: str) -> int:
+    if a.endswith(b) or b.endswith(a):
+        return min(len(a), len(b))
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[len(a) - mid : len(a) - low] == b[len(b) - mid : len(b) - low]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
 
 
 def spans(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int]], int | None]:
@@ -69,26 +91,42 @@ def spans(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, i
     A template may close its output: the longest part that a next turn replaced and that all outputs end with is no
     turn's. A turn that replaces more than that has changed what was before it.
     """
-    outs = [template(turns[: k + 1]) for k in range(len(turns))]
-    if not outs:
-        return "", [], None
-    replaced = [a[_common(a, b) :] for a, b in zip(outs, outs[1:], strict=False)]
-    closing = next(r for r in sorted({"", *replaced}, key=len, reverse=True) if all(o.endswith(r) for o in outs))
-    rewritten = next((k + 1 for k, r in enumerate(replaced) if len(r) > len(closing)), None)
-    ends = [len(o) - len(closing) for o in outs]
-    begins = [0, *ends]
-    whole = len(outs) if rewritten is None else rewritten
-    return outs[-1], [(a, b) if k < whole else (0, 0) for k, (a, b) in enumerate(zip(begins, ends, strict=False))], rewritten
+    return _spans(turns, template)[:3]
+
+
+def _spans(turns: list[Turn], template: Template, learn: str | None = None) -> tuple[str, list[tuple[int, int]], int | None, list[tuple[int, int]]]:
+    """``spans``, and where the texts of role ``learn`` lie as long as nothing is rewritten. Prefixes are rendered one after
+    the other, and two renderings are held at a time: that all outputs end with a part is known from what is common to
+    all their ends."""
+    before, end, sizes, replaced, texts = "", "", [], [], []
+    for k in range(len(turns)):
+        out = template(turns[: k + 1])
+        if k:
+            replaced.append(len(before) - _common(before, out))
+        common = _common_end(end, out) if k else len(out)
+        end = out[len(out) - common :]
+        sizes.append(len(out))
+        texts.append(_inside(turns[: k + 1], template, out) if turns[k][0] == learn else None)
+        before = out
+    closing = max((r for r in replaced if r <= len(end)), default=0)
+    rewritten = next((k + 1 for k, r in enumerate(replaced) if r > closing), None)
+    ends = [n - closing for n in sizes]
+    whole = len(turns) if rewritten is None else rewritten
+    where = [(a, b) if k < whole else (0, 0) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False))]
+    return before, where, rewritten, [t if w[0] <= t[0] else w for t, w in zip(texts, where, strict=True) if t]
+
+
+def _inside(turns: list[Turn], template: Template, whole: str) -> tuple[int, int]:
+    """Where the text of the last of ``turns`` lies in ``whole``, the rendering of all of them."""
+    a, b = (template([*turns[:-1], (turns[-1][0], probe)]) for probe in ("A", "B"))
+    head = _common(a, b)
+    return head, max(head, len(whole) - (len(a) - head - 1))
 
 
 def text_span(turns: list[Turn], template: Template, span: tuple[int, int]) -> tuple[int, int]:
     """Where the text of the last of ``turns`` lies, whose turn has the given span in the rendering of all of them."""
-    a, b = (template([*turns[:-1], (turns[-1][0], probe)]) for probe in ("A", "B"))
-    head = _common(a, b)
-    tail = len(a) - head - 1
-    whole = template(turns)
-    end = len(whole) - tail
-    return (head, max(head, end)) if span[0] <= head else span
+    found = _inside(turns, template, template(turns))
+    return found if span[0] <= found[0] else span
 
 
 def places(turns: list[Turn], k: int, template: Template) -> list[tuple[int, int]]:
@@ -122,15 +160,11 @@ def format_chats(conversations: DataFrame, template: Template = marked, learn: s
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def one(conv: int | None, turns: list[Turn]) -> dict:
-        out, where, rewritten = spans(turns, template)
-        texts = []
+        out, where, rewritten, texts = _spans(turns, template, learn)
         if rewritten is not None:
             found = [places(turns, k, template) for k in range(len(turns))]
             where = [f[0] if f else (0, 0) for f in found]
             texts = sorted(p for f, (role, _) in zip(found, turns, strict=True) if role == learn for p in f)
-        for k, (role, _) in enumerate(turns):
-            if role == learn and rewritten is None:
-                texts.append(text_span(turns[: k + 1], template, where[k]))
         return {
             "conv_id": conv, "n_turns": len(turns), "formatted": out, "spans": [{"start": a, "end": b, "role": r} for (a, b), (r, _) in zip(where, turns, strict=True)],
             "texts": [{"start": a, "end": b} for a, b in texts], "rewrites_at": rewritten,

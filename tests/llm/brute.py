@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import re
 from collections import defaultdict
 
@@ -90,3 +91,14 @@ def cnn_score(net, text: str, chunk: int) -> float:
     maxima = [np.max(windows[c * chunk : (c + 1) * chunk if c + 1 < n else None], axis=0) + net.bias for c in range(n)]
     z = np.concatenate([np.max(maxima, axis=0), np.mean(maxima, axis=0), np.min(maxima, axis=0)])
     return float(1 / (1 + np.exp(-(np.maximum(z, 0) @ net.out + net.rest))))
+
+
+def spans(turns: list, template) -> tuple:
+    """Chat spans from all prefixes at once, compared character by character."""
+    outs = [template(turns[: k + 1]) for k in range(len(turns))]
+    replaced = [a[len(os.path.commonprefix([a, b])) :] for a, b in zip(outs, outs[1:], strict=False)]
+    closing = next((r for r in sorted({"", *replaced}, key=len, reverse=True) if all(o.endswith(r) for o in outs)), "")
+    rewritten = next((k + 1 for k, r in enumerate(replaced) if len(r) > len(closing)), None)
+    ends = [len(o) - len(closing) for o in outs]
+    whole = len(outs) if rewritten is None else rewritten
+    return outs[-1] if outs else "", [(a, b) if k < whole else (0, 0) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False))], rewritten

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 import sys
 from collections import Counter
 from pathlib import Path
@@ -249,6 +250,18 @@ def test_chat_spans_and_rewritten_history():
     assert chat.spans(turns, latest_only)[2] == 1
 
 
+def test_chat_spans_like_the_plain_version():
+    rng = random.Random(1)
+    templates = [
+        chat.marked, lambda ts: chat.marked(ts) + "<end>", lambda ts: "".join(f"{r}:{t if k + 1 == len(ts) else ''};" for k, (r, t) in enumerate(ts)),
+        lambda ts: f"{len(ts)}" + chat.marked(ts), lambda ts: "".join(t for _, t in ts),
+    ]
+    for _ in range(1000):
+        turns = [(rng.choice(["user", "assistant", "x"]), "".join(rng.choice("ab<end>\\#") for _ in range(rng.randint(0, 8)))) for _ in range(rng.randint(0, 6))]
+        for template in templates:
+            assert chat.spans(turns, template) == brute.spans(turns, template)
+
+
 def test_chat_odd_tables(spark):
     kind = "conv_id long, turn long, role string, text string, spans string"
     rows = [(1, None, None, None, "x"), (1, 0, "user", "hi", "x"), (1, 0, "user", "hi", "x"), (None, 0, "tool: a", "", None)]
