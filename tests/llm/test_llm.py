@@ -304,11 +304,45 @@ def test_top_k_odd_tables(spark):
     table = pivots.vectors(spark.createDataFrame(rows, kind))
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in pivots.top_k(table, table.where("id % 20 = 0")).collect())
     big = 64 * 64 * 10**9 - 32 * 64 * 10**9
-    assert got == [(0, 1, 7, big), (0, 2, 20, 64 * 64 + 32 * 32), (20, 1, 7, big), (20, 2, 0, 64 * 64 + 32 * 32)]
+    two = 64 * 64 + 32 * 32  # repeated rows count as often as they occur, as in the SQL
+    assert got == [(0, 1, 7, big), (0, 2, 20, two), (0, 3, 20, two), (20, 1, 7, big), (20, 2, 7, big), (20, 3, 0, two), (20, 4, 0, two)]
     none = pivots.vectors(spark.createDataFrame([], kind))
     assert pivots.top_k(none, none).count() == 0
 
 
+def test_top_k_of_repeated_rows_like_the_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(i % 30, [float(i % 7), 1.5 * (i % 5), -0.3]) for i in range(200)] + [(0, [1.0, 1.0, 1.0])] * 30
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in pivots.op10_pivot_topk(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.sql(pivots.OP10_SQL).fetchall()) and len(got) == 40
+
+
+def test_top_k_of_large_components():
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.standard_normal((300, 5)) * 2.0 ** rng.integers(0, 70, (300, 1)))
+    x[10:40] = x[10]  # ties
+    ids = np.arange(300) % 290
+    best = pivots._Best(ids[:60], 7)
+    for part in (slice(0, 130), slice(130, 300)):
+        pivots.evaluate_large(best, x[:60], x[part], ids[part])
+    exact = [[int(v) for v in row] for row in x.tolist()]
+    for i in range(60):
+        scores = [(max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(exact[i], own, strict=True)))), -int(j)) for own, j in zip(exact, ids, strict=True) if j != ids[i]]
+        assert best.found[i] == sorted(scores, reverse=True)[:7]
+
+
+def test_top_k_beyond_64_bits(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [1e17, 0.0]), (3, [-1e30, 0.0]), (4, [0.5, 0.25]), (5, [0.0, 3.0])]
+    table = pivots.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted((r["rank"], r.vec_id, r.score) for r in pivots.top_k(table, table.where("id = 0")).collect())
+    most = (1 << 63) - 1
+    assert got == [(1, 1, most), (2, 2, most), (3, 4, most), (4, 5, 64 * 192), (5, 3, -most - 1)]
+
+
 def test_top_k_takes_every_vector_of_a_repeated_id(spark):
     rows = [(0, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [1.5, 0.0])]
     table = pivots.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
