@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import bpe, line_runs, mixing, quality_cnn, simhash, similar
-from nearfield.llm.common import written
+from nearfield.sources.scratch import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
