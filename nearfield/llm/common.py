@@ -1,63 +1,11 @@
-"""Shared plumbing of the operators: the shared scratch folder, written tables and hash sampling."""
+"""Shared plumbing of the operators: schemas, and hash sampling for training."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; one of our own only where it is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="nearfield-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; it is removed when the driver ends."""
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: lineage ends there, and lost executors cost nothing."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def forget(*frames: DataFrame) -> None:
-    """Remove the files of superseded ``written`` tables (their inputs must not be needed again)."""
-    for df in frames:
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            _remove(df.sparkSession, file)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            if spark._sc._jsc is not None:
-                _remove(spark, path)
-        except Exception:  # the session is gone: nothing to do
-            return
-
 
 def extended(schema: StructType, **more: str) -> StructType:
     """``schema`` with further columns, as a new object."""

@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import extended, forget, written
+from nearfield.llm.common import extended
+from nearfield.sources.scratch import forget, written
 
 MIN_WORDS = 50
 _NO_ID = -(1 << 63)

@@ -8,18 +8,23 @@ another hash. Counts depend on doc_id, seed and the rates alone, so a task that
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from nearfield.llm.common import written
+from nearfield.sources.scratch import BROADCAST_BYTES, measured, written
 
 SEED = 20240501
 #: Weights where none are given: proportional to a source's size to this power (0: all sources alike, 1: as they are).
 POWER = 0.5
-#: Source tables of at most so many rows are broadcast; larger ones are joined by salted key.
-BROADCAST_ROWS = 100_000
+#: Copies that a task makes of a document at most.
+COPIES = 1000
+#: Source tables too large to broadcast are joined by keys with so many salts.
 _SALTS = 64
 
 
@@ -28,19 +33,52 @@ def _uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def _thresholds(rate: Column) -> Column:
-    """The distribution function of a Poisson variable with mean ``rate`` at 0, 1, 2 and so on, until beyond rate + 12
-    deviations + 40; terms are computed as logarithms, so that a large mean doesn't vanish."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    term = F.lit(0.0) - rate
-    start = F.struct(term.alias("l"), F.array(F.exp(term)).alias("c"))
-    grow = F.aggregate(
-        F.sequence(F.lit(1), last),
-        start,
-        lambda acc, k: F.struct((acc["l"] + F.ln(rate / k)).alias("l"), F.concat(acc["c"], F.array(F.element_at(acc["c"], -1) + F.exp(acc["l"] + F.ln(rate / k)))).alias("c")),
-        lambda acc: acc["c"],
-    )
-    return F.when(rate > 0, grow).otherwise(F.array(F.lit(2.0)))
+class _Inverse:
+    """Inverts Poisson distributions; the distribution functions of the rates last asked about are kept."""
+
+    def __init__(self, kept: int = 4_000_000):
+        self.tables: dict[float, tuple[int, np.ndarray]] = {}
+        self.kept = kept
+
+    def table(self, rate: float) -> tuple[int, np.ndarray]:
+        """(k, c): c[i] is the probability of at most k + i, for all counts within 12 deviations + 40 of ``rate``; outside
+        lies less than 1e-30 of the whole. Far from 0, terms begin at the window's lower end and are normalised."""
+        if rate not in self.tables:
+            half = 12 * math.sqrt(rate) + 40
+            low, high = max(0, math.floor(rate - half)), math.ceil(rate + half)
+            logs = np.concatenate([[0.0], np.log(rate / np.arange(low + 1, high + 1))])
+            if low:
+                terms = np.cumsum(logs)
+                found = np.cumsum(np.exp(terms - terms.max()))
+                found /= found[-1]
+            else:
+                logs[0] = -rate
+                found = np.cumsum(np.exp(np.cumsum(logs)))
+            if sum(len(c) for _, c in self.tables.values()) + len(found) > self.kept:
+                self.tables.clear()
+            self.tables[rate] = low, found
+        return self.tables[rate]
+
+    def counts(self, u: np.ndarray, rates: np.ndarray) -> np.ndarray:
+        """For each u in [0, 1) the smallest count whose distribution function at ``rates`` exceeds it."""
+        out = np.zeros(len(u), np.int64)
+        for rate in np.unique(rates[rates > 0]):
+            at = np.flatnonzero(rates == rate)
+            low, found = self.table(float(rate))
+            out[at] = low + np.searchsorted(found, u[at], side="right")
+        return out
+
+
+@F.pandas_udf(LongType())
+def _count(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    inverse = _Inverse()
+    for u, rate in parts:
+        yield pd.Series(inverse.counts(u.to_numpy(), rate.to_numpy()))
+
+
+def _most(rate: float) -> int:
+    """The largest count that a rate can draw."""
+    return math.ceil(rate + 12 * math.sqrt(rate) + 40) + 1
 
 
 def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = POWER, total: float | None = None) -> DataFrame:
@@ -52,13 +90,13 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, po
     if weights is None:
         wanted = F.when(F.col("size") > 0, F.pow(F.col("size").cast("double"), F.lit(power))).otherwise(0.0)
     else:
-        wanted = F.lit(0.0)
+        wanted, largest = F.lit(0.0), max([abs(float(v)) for v in weights.values()], default=0.0) or 1.0
         for k, v in weights.items():
-            wanted = F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))).otherwise(wanted)
+            wanted = F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v) / largest)).otherwise(wanted)
     sizes = written(sizes.withColumn("wanted", wanted), "sources")
-    # in the order of the source, so that the sums of doubles are always the same
-    sums = sizes.agg(F.aggregate(F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("s"), "wanted"))), F.lit(0.0), lambda a, x: a + x["wanted"]).alias("w"), F.sum("size").alias("t")).first()
-    whole, mixture = sums.w or 0.0, float(total if total is not None else (sums.t or 0))
+    # decimals, so that the sum doesn't depend on the order of addition
+    sums = sizes.agg(F.sum(F.col("wanted").cast("decimal(38, 14)")).alias("w"), F.sum("size").alias("t")).first()
+    whole, mixture = float(sums.w or 0), float(total if total is not None else (sums.t or 0))
     if not whole:
         return sizes.select("source", "size", F.lit(0.0).alias("rate"))
     return sizes.select("source", "size", F.when(F.col("size") > 0, F.col("wanted") / whole * mixture / F.col("size")).otherwise(0.0).alias("rate"))
@@ -69,22 +107,27 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, powe
 
     Columns of these two names are replaced. Rows with one doc_id draw the same count; null doc_ids count as the text
     "null"; a null source is a source of its own; rows of a source of rate 0 do not occur; an empty table gives an empty
-    table. The result is range-partitioned by ``shuffle_key`` and sorted by it, ties by doc_id and copy.
+    table. The result is range-partitioned by ``shuffle_key`` and sorted by it, ties by doc_id and copy. Where a source
+    can draw more than ``COPIES`` copies, documents are dealt to tasks by so many copies each before they are replicated.
     """
     docs = docs.drop("copy", "shuffle_key")
-    table = written(rates(docs, weights, power, total).select("source", _thresholds(F.col("rate")).alias("__cdf")).withColumnRenamed("source", "__source"), "rates")
+    table, _, size = measured(rates(docs, weights, power, total).select(F.col("source").alias("__source"), F.col("rate").alias("__rate")), "rates")
+    most = _most(table.agg(F.max("__rate")).first()[0] or 0.0)
     same = F.col("source").cast("string").eqNullSafe(F.col("__source"))
-    if table.count() <= BROADCAST_ROWS:
+    if size <= BROADCAST_BYTES:
         both = docs.join(F.broadcast(table), same, "left")
     else:
         salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
         both = docs.withColumn("__part", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int")).join(salted, same & (F.col("__part") == F.col("__salt")), "left").drop("__part", "__salt")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    u = _uniform(F.lit("count"), F.lit(str(seed)), name)
-    counted = both.withColumn("__u", u).withColumn("__n", F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).where("__n > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n").cast("long")))).drop("__source", "__cdf", "__u", "__n")
+    counted = both.withColumn("__n", _count(_uniform(F.lit("count"), F.lit(str(seed)), name), F.col("__rate"))).drop("__source", "__rate").where("__n > 0")
+    first, last = F.lit(1).cast("long"), F.col("__n")
+    if most > COPIES:
+        counted = counted.withColumn("__first", F.explode(F.sequence(first, last, F.lit(COPIES).cast("long")))).repartition(parts, F.xxhash64("doc_id", "__first"))
+        first, last = F.col("__first"), F.least(last, F.col("__first") + (COPIES - 1))
+    copies = counted.withColumn("copy", F.explode(F.sequence(first, last))).drop("__n", "__first")
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit("order"), F.lit(str(seed)), name, F.col("copy").cast("string")).cast("binary")))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartitionByRange(parts, "shuffle_key", "doc_id", "copy").sortWithinPartitions("shuffle_key", "doc_id", "copy")
 
 

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import forget, written
+from nearfield.sources.scratch import forget, written
 
 P = 5
 SHARE = 0.75

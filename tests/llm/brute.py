@@ -102,3 +102,9 @@ def spans(turns: list, template) -> tuple:
     ends = [len(o) - len(closing) for o in outs]
     whole = len(outs) if rewritten is None else rewritten
     return outs[-1] if outs else "", [(a, b) if k < whole else (0, 0) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False))], rewritten
+
+
+def poisson_upto(rate: float, k: int) -> float:
+    """The probability of at most k, each term by itself."""
+    low = max(0, math.floor(rate - 15 * math.sqrt(rate) - 60))
+    return math.fsum(math.exp(i * math.log(rate) - rate - math.lgamma(i + 1)) for i in range(low, k + 1))

@@ -191,6 +191,26 @@ def test_mixing_odd_tables(odd, none):
     assert mixing.mix(odd, {"elsewhere": 1.0}).count() == 0
 
 
+@pytest.mark.parametrize("rate", [0.01, 1.0, 7.5, 150.0, 230.0, 4000.0, 1e6])
+def test_poisson_inversion(rate):
+    inverse = mixing._Inverse()
+    u = np.array([0.0, 1e-9, 0.02, 0.3, 0.5, 0.77, 0.999, 1 - 1e-9])
+    got = inverse.counts(u, np.full(len(u), rate))
+    assert inverse.counts(u, np.zeros(len(u))).sum() == 0 and (np.diff(got) >= 0).all() and got.max() <= mixing._most(rate)
+    low, found = inverse.table(rate)
+    for x, k in zip(u[1:].tolist(), got[1:].tolist(), strict=True):
+        assert found[k - low] == pytest.approx(brute.poisson_upto(rate, k), abs=2e-8)
+        assert brute.poisson_upto(rate, k) > x - 2e-8 and (k == 0 or brute.poisson_upto(rate, k - 1) <= x + 2e-8)
+
+
+def test_many_copies_are_dealt_to_tasks(spark):
+    docs = spark.createDataFrame([(1, "x", "tiny"), (2, "y" * 50, "large"), (3, "z" * 50, "large")], "doc_id long, text string, source string")
+    got = mixing.mix(docs, {"tiny": 1.0, "large": 1e-4}, total=200_000).cache()
+    n = {r.doc_id: (r["n"], r.last, r.different) for r in got.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("copy").alias("last"), F.countDistinct("shuffle_key").alias("different")).collect()}
+    got.unpersist()
+    assert abs(n[1][0] - 200_000) < 12 * 200_000**0.5 and all(a == b == c for a, b, c in n.values())
+
+
 def test_lines_odd_tables(odd, none):
     got = {r.doc_id: r for r in line_runs.remove_repeats(odd).collect() if r.doc_id is not None}
     assert line_runs.remove_repeats(odd).columns == [*odd.columns, "n_lines", "n_removed"]
