@@ -1,13 +1,18 @@
 """Quality rules (operator 2): base counts, and robust multivariate outliers per language and source.
 
 All of it is DataFrame and SQL expressions. Five statistics of a text are transformed to logarithms and rounded to
-thousandths, so that sums and sums of products are exact integers whatever the order of addition. A group's location and
-scatter are minimum-covariance-determinant estimates: from medians and quartile ranges, concentration steps keep the
-three quarters of rows that lie nearest by Mahalanobis distance and estimate again from them. The cut of each step comes
-from counts per small bin of distance, so no group is ever gathered or sorted: a group of any size is a bounded number of
-pre-aggregated rows.
-
-Groups of under ``min_rows`` rows are estimated together with the other small groups of their language.
+thousandths, so that sums and sums of products are exact integers whatever the order of addition. Each group of language
+and source has its own minimum-covariance-determinant estimate of location and scatter. From each of three starts,
+concentration steps keep the three quarters of rows that lie nearest by Mahalanobis distance and estimate again from
+them, until no group's rows change (after ``STEPS`` steps at most); the start that ends at the smallest determinant wins.
+The starts are medians with quartile ranges, the mean and covariance of all rows, and medians with equal spreads.
+
+The cut of each step comes from counts per bin of distance, whose width is a constant share of it, so no group is ever
+gathered or sorted: a group of any size is some hundred pre-aggregated rows. All rows of the bin that the cut falls in
+count as near.
+
+A group's scatter is that of its rows and of ``PRIOR_ROWS`` further ones with stated spreads, and a floor is added: one
+rule for groups of every size, under which a small or degenerate group still has a regular, cautious estimate.
 """
 
 from __future__ import annotations
@@ -17,19 +22,22 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.sources.scratch import forget, written
+from nearfield.sources.scratch import BROADCAST_BYTES, forget, measured, written
 
 P = 5
 SHARE = 0.75
-STEPS = 4
-MIN_ROWS = 100
+STEPS = 20
+STARTS = 3
 CUT = 45.0
 #: Least spread (in thousandths of a logarithm) added to each statistic's variance: a statistic that most rows share
 #: exactly, such as "no symbols", else has none.
 FLOORS = (60, 400, 1200, 600, 300)
-#: Group tables of at most so many rows are broadcast.
-BROADCAST_ROWS = 100_000
-_QBIN, _DBINS, _DCAP = 50, 16, 1000.0
+#: Spreads (in thousandths of a logarithm) of the further rows that each group's scatter has.
+PRIOR, PRIOR_ROWS = (150, 800, 1200, 800, 1000), 10
+#: Estimates too large to broadcast are joined by keys with so many salts.
+_SALTS = 64
+#: Width of the statistics' bins that quartiles come from; bins of distance for each factor e.
+_QBIN, _DBINS = 50, 64
 
 
 def _gamma_p(a: float, x: float) -> float:
@@ -112,93 +120,120 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def _solve(rows: str, step: str) -> list[str]:
-    """SELECT items, level by level, that give ``d2`` from x0.. and a group's m0.., r1_0.. and v0..."""
-    out = []
-    for i in range(P):
-        out.append(f"(x{i} - m{i})" + "".join(f" - r{i}_{j} * y{j}" for j in range(i)) + f" AS y{i}")
-    return out
+#: Steps to ``d2`` from x0.. and a group's m0.., r1_0.. and v0..., each from those before it.
+_SOLVED = [(f"y{i}", f"(x{i} - m{i})" + "".join(f" - r{i}_{j} * y{j}" for j in range(i))) for i in range(P)]
+_SOLVED.append(("d2", " + ".join(f"y{i} * y{i} / v{i}" for i in range(P))))
 
 
 def _decompose() -> list[tuple[str, str]]:
-    """Columns of the LDL' decomposition of c{i}_{j}, each from those before it."""
+    """Columns of the LDL' decomposition of c{i}_{j}, each from those before it, and the determinant."""
     out: list[tuple[str, str]] = []
     for i in range(P):
         for j in range(i):
             out.append((f"u{i}_{j}", f"c{i}_{j}" + "".join(f" - u{i}_{k} * r{j}_{k}" for k in range(j))))
             out.append((f"r{i}_{j}", f"u{i}_{j} / v{j}"))
         out.append((f"v{i}", f"c{i}_{i}" + "".join(f" - u{i}_{k} * r{i}_{k}" for k in range(i))))
-    return out
+    return [*out, ("det", " * ".join(f"v{i}" for i in range(P)))]
 
 
 _MOMENTS = [f"s{i}" for i in range(P)] + [f"s{i}_{j}" for i, j in PAIRS]
-_D2 = " + ".join(f"y{i} * y{i} / v{i}" for i in range(P))
-_DBIN = f"CAST(floor(least(d2, {_DCAP}) * {_DBINS}) AS BIGINT)"
+_DBIN = f"CAST(floor({_DBINS} * ln(1 + d2)) AS BIGINT)"
 _PARAMS = [f"m{i}" for i in range(P)] + [f"r{i}_{j}" for i, j in PAIRS if i != j] + [f"v{i}" for i in range(P)]
 #: Scatter from exact sums, in this very order of operations.
 _FROM_SUMS = [f"CAST(s{i} AS DOUBLE) / n AS m{i}" for i in range(P)] + [
-    f"(CAST(s{i}_{j} AS DOUBLE) / n - (CAST(s{i} AS DOUBLE) / n) * (CAST(s{j} AS DOUBLE) / n)) * {FACTOR}" + (f" + {FLOORS[i] ** 2}" if i == j else "") + f" AS c{i}_{j}" for i, j in PAIRS
+    f"(n * ((CAST(s{i}_{j} AS DOUBLE) / n - (CAST(s{i} AS DOUBLE) / n) * (CAST(s{j} AS DOUBLE) / n)) * {FACTOR})"
+    + (f" + {PRIOR_ROWS * PRIOR[i] ** 2}) / (n + {PRIOR_ROWS}) + {FLOORS[i] ** 2}" if i == j else f") / (n + {PRIOR_ROWS})")
+    + f" AS c{i}_{j}"
+    for i, j in PAIRS
 ]
-#: The start: medians, and quartile ranges as spreads, without correlation.
-_FROM_QUARTILES = [f"CAST(q{i}_2 AS DOUBLE) * {_QBIN} AS m{i}" for i in range(P)] + [
+_MEDIANS = [f"CAST(q{i}_2 AS DOUBLE) * {_QBIN} AS m{i}" for i in range(P)]
+#: Starts without correlation: quartile ranges as spreads, and the floors.
+_FROM_QUARTILES = _MEDIANS + [
     (f"((q{i}_3 - q{i}_1) * {_QBIN} / 1.349) * ((q{i}_3 - q{i}_1) * {_QBIN} / 1.349) + {FLOORS[i] ** 2}" if i == j else "CAST(0 AS DOUBLE)") + f" AS c{i}_{j}" for i, j in PAIRS
 ]
+_FROM_MEDIANS = _MEDIANS + [(f"CAST({FLOORS[i] ** 2} AS DOUBLE)" if i == j else "CAST(0 AS DOUBLE)") + f" AS c{i}_{j}" for i, j in PAIRS]
+#: A group: language and source, nulls apart from empty strings.
+_KEY = "concat(CASE WHEN lang IS NULL THEN 'n' ELSE 'v' || lang END, chr(9), CASE WHEN source IS NULL THEN 'n' ELSE 'v' || source END)"
 
 
 def _estimates(groups: DataFrame, items: list[str]) -> DataFrame:
-    out = groups.selectExpr("key", *items)
+    out = groups.selectExpr("key", "start", *items)
     for name, expr in _decompose():
         out = out.withColumn(name, F.expr(expr))
-    return out.select("key", *_PARAMS)
-
-
-def _measured(rows: DataFrame, estimates: DataFrame, n_groups: int, how: str = "inner") -> DataFrame:
-    out = rows.join(F.broadcast(estimates) if n_groups <= BROADCAST_ROWS else estimates, "key", how)
-    for item in _solve("", ""):
-        expr, name = item.rsplit(" AS ", 1)
+    return out.select("key", "start", *_PARAMS, "det")
+
+
+def _met(rows: DataFrame, estimates: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with d2, their squared distance by the estimates of their group."""
+    table, _, size = measured(estimates, "quality-estimates")
+    if size <= BROADCAST_BYTES:
+        out = rows.join(F.broadcast(table), on, how)
+    else:
+        salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        out = rows.withColumn("salt", F.pmod(F.xxhash64(*[f"x{i}" for i in range(P)]), F.lit(_SALTS)).cast("int")).join(salted, [*on, "salt"], how).drop("salt")
+    for name, expr in _SOLVED:
         out = out.withColumn(name, F.expr(expr))
-    return out.withColumn("d2", F.expr(_D2)).drop(*_PARAMS, *[f"y{i}" for i in range(P)])
+    return out.drop(*_PARAMS, "det", *[f"y{i}" for i in range(P)])
 
 
-def statistics(docs: DataFrame, min_rows: int = MIN_ROWS) -> tuple[DataFrame, DataFrame, int]:
-    """Written base counts with base_failed, the statistics x0.. and the group ``key``; the groups; their number."""
-    counts = base_counts(docs).withColumn("base_failed", F.expr(BASE_FAILED))
+def statistics(docs: DataFrame) -> DataFrame:
+    """Written base counts with base_failed, the statistics x0.. and the group ``key``."""
+    counts = base_counts(docs).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("key", F.expr(_KEY))
     kinds = [F.when(~F.col("base_failed"), F.expr(x)).alias(f"x{i}") for i, x in enumerate(STATISTICS)]
-    counts = written(counts.select("*", *kinds), "quality-counts")
-    both = [F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))]
-    sizes = counts.where("NOT base_failed").groupBy(both[0].alias("gl"), both[1].alias("gs")).agg(F.count("*").alias("n"))
-    keys = written(sizes.select("gl", "gs", F.when(F.col("n") >= min_rows, F.to_json(F.struct("gl", "gs"))).otherwise(F.to_json(F.struct("gl"))).alias("key")), "quality-groups")
-    n = keys.count()
-    groups = F.broadcast(keys) if n <= BROADCAST_ROWS else keys
-    return counts.join(groups, (both[0] == F.col("gl")) & (both[1] == F.col("gs")), "left").drop("gl", "gs"), keys, n
+    return written(counts.select("*", *kinds).drop("lang", "source"), "quality-counts")
+
 
+def _sums(fit: DataFrame, by: list[str]) -> DataFrame:
+    products = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.expr(f"x{i} * x{j}")).alias(f"s{i}_{j}") for i, j in PAIRS]
+    return fit.groupBy(*by).agg(F.count("*").alias("n"), *products)
 
-def quality_rules(docs: DataFrame, min_rows: int = MIN_ROWS, cut: float = CUT, steps: int = STEPS) -> DataFrame:
+
+def _added(sums: DataFrame, by: list[str]) -> DataFrame:
+    return sums.groupBy(*by).agg(F.sum("n").alias("n"), *[F.sum(F.col(c).cast("decimal(38, 0)")).alias(c) for c in _MOMENTS])
+
+
+def estimates(fit: DataFrame, steps: int = STEPS) -> DataFrame:
+    """(key, start, m.., r.., v.., det): the estimate of each group of ``fit`` (key, x0..) by the start with the smallest
+    determinant, ties to the first start."""
+    long = fit.select("key", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.expr(f"CAST(floor(x{i} / CAST({_QBIN} AS DOUBLE)) AS BIGINT)").alias("bin")) for i in range(P)])).alias("e"))
+    bins = long.groupBy("key", "e.i", "e.bin").agg(F.count("*").alias("n"))
+    bins = bins.selectExpr("key", "i", "bin", "sum(n) OVER (PARTITION BY key, i ORDER BY bin) AS upto", "sum(n) OVER (PARTITION BY key, i) AS total")
+    quartiles = bins.groupBy("key").agg(*[F.min(F.expr(f"CASE WHEN i = {i} AND 4 * upto >= {q} * total THEN bin END")).alias(f"q{i}_{q}") for i in range(P) for q in (1, 2, 3)])
+    quartiles = written(quartiles, "quality-quartiles")
+    every = _added(_sums(fit.withColumn("part", F.expr("x4 % 64")), ["key", "part"]), ["key"])
+    starts = ((quartiles, _FROM_QUARTILES), (every, _FROM_SUMS), (quartiles, _FROM_MEDIANS))
+    now = None
+    for k, (groups, items) in enumerate(starts):
+        own = _estimates(groups.withColumn("start", F.lit(k)), items)
+        now = own if now is None else now.unionByName(own)
+    fit = fit.withColumn("start", F.explode(F.array(*[F.lit(k) for k in range(len(starts))])))
+    before = None
+    for _ in range(steps):
+        by_bin = _sums(_met(fit, now, ["key", "start"]).withColumn("dbin", F.expr(_DBIN)), ["key", "start", "dbin"])
+        by_bin = by_bin.selectExpr("*", "sum(n) OVER (PARTITION BY key, start ORDER BY dbin) AS upto", "sum(n) OVER (PARTITION BY key, start) AS total")
+        near = written(_added(by_bin.where(f"upto - n < {SHARE} * total"), ["key", "start"]), "quality-near")
+        now = _estimates(near, _FROM_SUMS)
+        if before is not None:
+            same = near.join(before, ["key", "start", "n", *_MOMENTS], "left_anti").limit(1).count() == 0
+            forget(before)
+            if same:
+                break
+        before = near
+    best = now.groupBy("key").agg(F.min_by(F.struct(*now.columns[1:]), F.struct("det", "start")).alias("e"))
+    return best.select("key", "e.*")
+
+
+def quality_rules(docs: DataFrame, cut: float = CUT, steps: int = STEPS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2, one row a document.
 
     ``kept`` is false if base_failed, else true unless the squared Mahalanobis distance exceeds ``cut`` (of a chi-square
     with 5 degrees of freedom, 45 is passed by one normal row in some 70 million). Rows that failed the base rules shape no
-    estimate. A null lang or source is a group of its own; a group whose estimates rest on a single row keeps it (its
-    distance is 0); ties and repeated rows count as often as they occur; an empty table gives no rows.
+    estimate. A null lang or source is apart from an empty one; a group of a single row keeps it (its distance is 0);
+    ties and repeated rows count as often as they occur; an empty table gives no rows.
     """
-    rows, keys, n_groups = statistics(docs, min_rows)
+    rows = statistics(docs)
     fit = rows.where("NOT base_failed").select("key", *[f"x{i}" for i in range(P)])
-    # quartiles from counts per bin of each statistic
-    long = fit.select("key", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.expr(f"CAST(floor(x{i} / CAST({_QBIN} AS DOUBLE)) AS BIGINT)").alias("bin")) for i in range(P)])).alias("e"))
-    bins = long.groupBy("key", "e.i", "e.bin").agg(F.count("*").alias("n"))
-    bins = bins.selectExpr("key", "i", "bin", "sum(n) OVER (PARTITION BY key, i ORDER BY bin) AS upto", "sum(n) OVER (PARTITION BY key, i) AS total")
-    start = bins.groupBy("key").agg(*[F.min(F.expr(f"CASE WHEN i = {i} AND 4 * upto >= {q} * total THEN bin END")).alias(f"q{i}_{q}") for i in range(P) for q in (1, 2, 3)])
-    estimates = written(_estimates(start, _FROM_QUARTILES), "quality-estimates")
-    for _ in range(steps):
-        near = _measured(fit, estimates, n_groups).withColumn("dbin", F.expr(_DBIN))
-        sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.expr(f"x{i} * x{j}")).alias(f"s{i}_{j}") for i, j in PAIRS]
-        by_bin = near.groupBy("key", "dbin").agg(F.count("*").alias("n"), *sums)
-        by_bin = by_bin.selectExpr("*", "sum(n) OVER (PARTITION BY key ORDER BY dbin) AS upto", "sum(n) OVER (PARTITION BY key) AS total")
-        nearest = by_bin.where(f"upto - n < {SHARE} * total").groupBy("key").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _MOMENTS])
-        new = written(_estimates(nearest, _FROM_SUMS), "quality-estimates")
-        forget(estimates)
-        estimates = new
-    found = _measured(rows, estimates, n_groups, "left")
+    found = _met(rows, estimates(fit, steps).drop("start"), ["key"], "left")
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cut)).alias("kept"), F.round(F.least("d2", F.lit(1e6)), 3).alias("distance2"),
@@ -211,27 +246,19 @@ def op2_robust_outliers(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """The same in DuckDB, with all ``STEPS`` steps one after the other (steps after the last change change nothing)."""
     ws = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
-    est = lambda name, source, items: (
-        f"{name}_0 AS (SELECT key, {', '.join(items)} FROM {source}),\n" + ",\n".join(f"{name}_{k + 1} AS (SELECT *, {e} AS {c} FROM {name}_{k})" for k, (c, e) in enumerate(_decompose()))
-    )
-    last = len(_decompose())
-
-    def measured(name: str, rows: str, e: str, how: str) -> str:
-        out, now = "", f"SELECT r.*, {', '.join('e.' + c for c in _PARAMS)} FROM {rows} r {how} JOIN {e} e USING (key)"
-        for i, item in enumerate(_solve("", "")):
-            now = f"SELECT *, {item} FROM ({now})"
-        return out + f"{name} AS (SELECT *, {_D2} AS d2 FROM ({now}))"
-
-    steps = []
+    let = lambda items: ", ".join(f"{e} AS {c}" for c, e in items)  # noqa: E731  later items may use earlier ones
+    est = lambda source, start, items: f"SELECT *, {let(_decompose())} FROM (SELECT key, {start} AS start, {', '.join(items)} FROM {source})"
+    met = lambda rows, e, on, how: f"SELECT r.*, {let(_SOLVED)} FROM {rows} r {how} JOIN {e} e USING ({on})"
+    sums = ", ".join([f"sum(x{i})::HUGEINT AS s{i}" for i in range(P)] + [f"sum(x{i} * x{j})::HUGEINT AS s{i}_{j}" for i, j in PAIRS])
+    steps = [f"e0 AS ({est('qs', 0, _FROM_QUARTILES)} UNION ALL {est('every', 1, _FROM_SUMS)} UNION ALL {est('qs', 2, _FROM_MEDIANS)})"]
     for t in range(STEPS):
-        e = f"e{t}_{last}"
-        sums = ", ".join([f"sum(x{i})::HUGEINT AS s{i}" for i in range(P)] + [f"sum(x{i} * x{j})::HUGEINT AS s{i}_{j}" for i, j in PAIRS])
-        steps.append(measured(f"near{t}", "fit", e, "INNER"))
-        steps.append(f"bin{t} AS (SELECT key, {_DBIN} AS dbin, count(*) AS n, {sums} FROM near{t} GROUP BY ALL)")
-        steps.append(f"cum{t} AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY dbin) AS upto, sum(n) OVER (PARTITION BY key) AS total FROM bin{t})")
-        steps.append(f"nst{t} AS (SELECT key, sum(n)::BIGINT AS n, {', '.join(f'sum({c})::HUGEINT AS {c}' for c in _MOMENTS)} FROM cum{t} WHERE upto - n < {SHARE} * total GROUP BY key)")
-        steps.append(est(f"e{t + 1}", f"nst{t}", _FROM_SUMS))
+        steps.append(f"near{t} AS ({met('starts', f'e{t}', 'key, start', 'INNER')})")
+        steps.append(f"bin{t} AS (SELECT key, start, {_DBIN} AS dbin, count(*) AS n, {sums} FROM near{t} GROUP BY ALL)")
+        steps.append(f"cum{t} AS (SELECT *, sum(n) OVER (PARTITION BY key, start ORDER BY dbin) AS upto, sum(n) OVER (PARTITION BY key, start) AS total FROM bin{t})")
+        steps.append(f"nst{t} AS (SELECT key, start, sum(n)::BIGINT AS n, {', '.join(f'sum({c})::HUGEINT AS {c}' for c in _MOMENTS)} FROM cum{t} WHERE upto - n < {SHARE} * total GROUP BY key, start)")
+        steps.append(f"e{t + 1} AS ({est(f'nst{t}', 'start', _FROM_SUMS)})")
     quart = ", ".join(f"min(CASE WHEN i = {i} AND 4 * upto >= {q} * total THEN bin END) AS q{i}_{q}" for i in range(P) for q in (1, 2, 3))
     long = " UNION ALL ".join(f"SELECT key, {i} AS i, CAST(floor(x{i} / CAST({_QBIN} AS DOUBLE)) AS BIGINT) AS bin FROM fit" for i in range(P))
     return f"""
@@ -244,16 +271,16 @@ rep AS (SELECT rid, count(DISTINCT i + o) AS n FROM twice, unnest([0, 1, 2]) AS
 counts AS (SELECT words.rid, doc_id, lang, source, len(w)::BIGINT AS n_words, length(translate(text, {ws}, ''))::BIGINT AS word_chars,
   (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
   coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM words LEFT JOIN rep USING (rid)),
-failed AS (SELECT *, {BASE_FAILED} AS base_failed, coalesce(lang, '') AS gl, coalesce(source, '') AS gs FROM counts),
-sizes AS (SELECT gl, gs, count(*) AS n FROM failed WHERE NOT base_failed GROUP BY ALL),
-keys AS (SELECT gl, gs, CASE WHEN n >= {MIN_ROWS} THEN gl || chr(0) || gs ELSE gl END AS key FROM sizes),
-rws AS (SELECT failed.*, key, {', '.join(f'CASE WHEN NOT base_failed THEN {x} END AS x{i}' for i, x in enumerate(STATISTICS))} FROM failed LEFT JOIN keys USING (gl, gs)),
+failed AS (SELECT *, {BASE_FAILED} AS base_failed, {_KEY} AS key FROM counts),
+rws AS (SELECT *, {', '.join(f'CASE WHEN NOT base_failed THEN {x} END AS x{i}' for i, x in enumerate(STATISTICS))} FROM failed),
 fit AS (SELECT key, {', '.join(f'x{i}' for i in range(P))} FROM rws WHERE NOT base_failed),
+starts AS (SELECT fit.*, start FROM fit, unnest(range(0, {STARTS})) AS u(start)),
 bins AS (SELECT key, i, bin, sum(n) OVER (PARTITION BY key, i ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY key, i) AS total FROM (SELECT key, i, bin, count(*) AS n FROM ({long}) GROUP BY ALL)),
 qs AS (SELECT key, {quart} FROM bins GROUP BY key),
-{est("e0", "qs", _FROM_QUARTILES)},
-{(","+chr(10)).join(steps)},
-{measured("fin", "rws", f"e{STEPS}_{last}", "LEFT")}
+every AS (SELECT key, count(*) AS n, {sums} FROM fit GROUP BY key),
+{("," + chr(10)).join(steps)},
+best AS (SELECT * EXCLUDE (start) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY det, start) AS k FROM e{STEPS}) WHERE k = 1),
+fin AS ({met("rws", "best", "key", "LEFT")})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND coalesce(d2, 0.0) <= {CUT}) AS kept FROM fin
 """
 

@@ -108,3 +108,50 @@ def poisson_upto(rate: float, k: int) -> float:
     """The probability of at most k, each term by itself."""
     low = max(0, math.floor(rate - 15 * math.sqrt(rate) - 60))
     return math.fsum(math.exp(i * math.log(rate) - rate - math.lgamma(i + 1)) for i in range(low, k + 1))
+
+
+def quality_statistics(text: str | None) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = defaultdict(list)
+    for i in range(len(words) - 2):
+        windows[tuple(words[i : i + 3])].append(i)
+    repeated = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated)
+
+
+def robust(x: np.ndarray, factor: float, floors: tuple, prior: tuple, prior_rows: int, share: float, per_e: int, starts: list | None = None) -> tuple[float, np.ndarray]:
+    """The smallest determinant, and the squared distances by its estimate: concentration steps with numpy's covariance,
+    inverse and determinant, until the rows chosen stay the same."""
+    n, p = x.shape
+    fixed = np.diag(np.square(np.array(floors, float)))
+
+    def estimate(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = np.cov(rows.T, bias=True).reshape(p, p) * factor
+        return rows.mean(axis=0), (len(rows) * c + prior_rows * np.diag(np.square(np.array(prior, float)))) / (len(rows) + prior_rows) + fixed
+
+    def distances(m: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    if starts is None:
+        binned = np.sort(np.floor(x / 50), axis=0)
+        q1, q2, q3 = (binned[math.ceil(q * n / 4) - 1] for q in (1, 2, 3))
+        starts = [(q2 * 50, np.diag(np.square((q3 - q1) * 50 / 1.349)) + fixed), estimate(x), (q2 * 50, fixed)]
+    else:
+        starts = [estimate(x[at]) for at in starts]
+    best = None
+    for m, c in starts:
+        before = None
+        for _ in range(20):
+            d = distances(m, c)
+            bins = np.floor(per_e * np.log1p(d))
+            near = bins <= np.sort(bins)[math.ceil(share * n) - 1]
+            m, c = estimate(x[near])
+            if before is not None and (near == before).all():
+                break
+            before = near
+        if best is None or np.linalg.det(c) < best[0] * (1 - 1e-9):
+            best = np.linalg.det(c), distances(m, c)
+    return best

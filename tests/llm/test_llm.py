@@ -174,6 +174,52 @@ def test_outliers_go_and_others_stay(spark):
     assert {r.doc_id for r in got if not r.kept} == set(range(1000, 1030))
 
 
+_MCD = {"factor": quality_rules.FACTOR, "floors": quality_rules.FLOORS, "prior": quality_rules.PRIOR, "prior_rows": quality_rules.PRIOR_ROWS, "share": quality_rules.SHARE, "per_e": 64}
+
+
+def test_outliers_like_the_plain_version(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    groups, want = {}, {}
+    for r in docs.collect():
+        n, chars, symbols, lines, repeated = own = brute.quality_statistics(r.text)
+        failed = n < 50 or 100 * repeated > 50 * n
+        want[r.doc_id] = (*own, failed)
+        if not failed:
+            x = (chars / n, 1 + 100 * symbols / n, 1 + 1000 * lines / n, 1 + 100 * repeated / n, n)
+            groups.setdefault((r.lang, r.source), []).append((r.doc_id, np.floor(1000 * np.log(x) + 0.5)))
+    distances = {}
+    for rows in groups.values():
+        found = brute.robust(np.array([x for _, x in rows]), **_MCD)[1]
+        distances |= dict(zip([i for i, _ in rows], found, strict=True))
+    got = quality_rules.quality_rules(docs).collect()
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want[r.doc_id]
+        assert r.kept == (not r.base_failed and distances[r.doc_id] <= quality_rules.CUT)
+        if not r.base_failed:
+            assert r.distance2 == pytest.approx(min(distances[r.doc_id], 1e6), rel=1e-6, abs=2e-3)
+    assert len(got) == len(want)
+
+
+def test_no_random_start_finds_a_much_smaller_determinant(spark):
+    rng = np.random.default_rng(11)
+    x = np.floor(rng.standard_normal((400, 5)) @ rng.standard_normal((5, 5)) * 300 + 4000)
+    x[:90] = np.floor(rng.standard_normal((90, 5)) * 80 + 9000)  # less than a quarter, close together, far off
+    fit = spark.createDataFrame([("k", *map(int, row)) for row in x], "key string, " + ", ".join(f"x{i} long" for i in range(5)))
+    det = quality_rules.estimates(fit).first().det
+    anywhere = brute.robust(x, **_MCD, starts=[rng.choice(400, 12, replace=False) for _ in range(200)])[0]
+    assert det <= anywhere * 1.02
+    assert det < brute.robust(x, **_MCD, starts=[np.arange(400)])[0] * 1.02
+
+
+def test_small_groups_have_estimates_of_their_own(spark):
+    words = lambda k, seed: " ".join("abcdefghij"[(i * i + seed) % 10] * (1 + (i * 7 + seed + k) % 6) + str(i) for i in range(80 + 5 * k))
+    rows = [(k, words(k % 9, k), "en", f"s{k // 9}") for k in range(27)] + [(99, words(3, 3), None, None), (98, words(4, 4), "", "")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(r.kept for r in got.values()) and got[99].distance2 == got[98].distance2 == 0
+    alone = quality_rules.quality_rules(spark.createDataFrame(rows[:9], "doc_id long, text string, lang string, source string")).collect()
+    assert all(r.distance2 == got[r.doc_id].distance2 for r in alone)  # whatever other groups there are
+
+
 def test_quality_odd_tables(odd, none):
     rows = quality_rules.quality_rules(odd).collect()
     assert len(rows) == odd.count() and all(r.kept is not None for r in rows)
