@@ -24,8 +24,8 @@ def _draw(seed: int, *parts: Column) -> Column:
 
 
 def random_rank(key: Column, node: Column, seed: int) -> Column:
-    """A uniform order of nodes for each key, the same whenever the seed is."""
-    return _draw(seed, key.cast("string"), node).cast("double")
+    """A number in [0, 1) for each key and node that orders the nodes, the same whenever the seed is."""
+    return _draw(seed, key.cast("string"), node) / F.lit(float(1 << 52))
 
 
 def best_fit_nodes(state: State, queries: DataFrame, route: str = "fast", seed: int = 0) -> DataFrame:

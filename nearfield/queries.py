@@ -286,7 +286,21 @@ def split_centroids(spark, sf_dir):
     return C.split_by_size(state(spark, sf_dir), 20, 1_000_000_000).points.select("id", "node_id", "centroid_id")
 
 
-@query()
+def _merged(low: int, high: int) -> str:
+    """A manager's centroids as lists, and a step for each in order: those it absorbs go, its size and vector grow."""
+    summed = lambda what: f"coalesce(list_sum(list_transform(taken, lambda t: {what})), 0)"
+    return f"""WITH RECURSIVE {_E}, c AS ({_mean('node_id, centroid_id', 'e')}), z AS (SELECT node_id, centroid_id, count(*) AS n FROM e GROUP BY ALL),
+r AS (SELECT node_id, list(centroid_id ORDER BY centroid_id) AS ids, list(n ORDER BY centroid_id) AS n, list(vec ORDER BY centroid_id) AS vecs, list(false) AS gone, 1::BIGINT AS i FROM z JOIN c USING (node_id, centroid_id) GROUP BY node_id
+UNION ALL SELECT node_id, ids,
+  list_transform(range(1, len(ids) + 1), lambda j: CASE WHEN j = i THEN (n[i] + {summed("n[t]")})::BIGINT WHEN list_contains(taken, j) THEN 0 ELSE n[j] END),
+  list_transform(range(1, len(ids) + 1), lambda j: CASE WHEN j <> i OR len(taken) = 0 THEN vecs[j] ELSE list_transform(range(1, len(vecs[i]) + 1), lambda p: (n[i] * vecs[i][p] + {summed("n[t] * vecs[t][p]")}) / (n[i] + {summed("n[t]")})) END),
+  list_transform(range(1, len(ids) + 1), lambda j: gone[j] OR list_contains(taken, j)), i + 1
+FROM (SELECT *, CASE WHEN NOT gone[i] AND n[i] > {low} AND n[i] < {high} THEN o[1:len(list_filter(range(1, len(o) + 1), lambda p: n[i] + coalesce(list_sum(list_transform(o[1:p - 1], lambda j: n[j])), 0) < {high}))] ELSE [] END AS taken
+  FROM (SELECT *, list_transform(list_sort(list_transform(list_filter(range(1, len(ids) + 1), lambda j: j <> i AND NOT gone[j]), lambda j: {{'s': -{_COS}(vecs[i], vecs[j]), 'j': j}})), lambda x: x.j) AS o FROM r WHERE i <= len(ids))))
+SELECT node_id, ids[j] AS centroid_id, n[j] AS n_points FROM r, unnest(range(1, len(ids) + 1)) AS u(j) WHERE i > len(ids) AND NOT gone[j]"""
+
+
+@query(_merged(-1, 150))
 def merge_centroids(spark, sf_dir):
     return C.merge_centroids(written_state(state(spark, sf_dir)), -1, 150).sizes().select("node_id", "centroid_id", "n_points")
 
@@ -309,13 +323,20 @@ def distribute_internal(spark, sf_dir):
 # --- nodes ------------------------------------------------------------------------------------------------------------
 
 
+def _drawn(*parts: str) -> str:
+    """52 bits of the MD5 of seed 1 and the parts."""
+    return f"('0x' || substr(md5('1' || {' || '.join(f"':' || {p}" for p in parts)}), 1, 13))::BIGINT"
+
+
 def _node_rank(route: str, queries: str = "q", nodes: str = "n", cents: str = "c", key: str = "query_id") -> str:
     table = nodes if route == "fast" else cents
+    if route == "random":
+        return f"nr AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY nscore DESC, node_id)::INTEGER AS nrank FROM (SELECT q.{key}, t.node_id, {_drawn(f'q.{key}', 't.node_id')} / {float(1 << 52)}::DOUBLE AS nscore FROM {queries} q, {nodes} t))"
     return f"nr AS (SELECT {key}, node_id, nscore, row_number() OVER (PARTITION BY {key} ORDER BY nscore DESC, node_id)::INTEGER AS nrank FROM (SELECT q.{key}, t.node_id, max({_COS}(q.vec, t.vec)) AS nscore FROM {queries} q, {table} t GROUP BY ALL))"
 
 
 def _best_fit(route: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.best_fit_nodes(state(spark, sf_dir), searches(spark, sf_dir), route).select("query_id", "node_id", "nrank", _score("nscore"))
+    return R.best_fit_nodes(state(spark, sf_dir), searches(spark, sf_dir), route, seed=1).select("query_id", "node_id", "nrank", _score("nscore"))
 
 
 def _get(route: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,22 +355,52 @@ def _distribute(route: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NEW = "w AS (SELECT id + 1000000000 AS id, list_transform(vec, lambda x: -x) AS vec, dead FROM e)"
-for _route in ("fast", "accurate"):
+_FIRST = {r: f"{_node_rank(r, 'w', key='id')}, t AS (SELECT w.*, nr.node_id AS to_node FROM w JOIN nr USING (id) WHERE nrank = 1)" for r in ("fast", "accurate")}
+_FIRST["random"] = f"t AS (SELECT w.*, names[{_drawn('id')} % len(names) + 1] AS to_node FROM w, (SELECT list(DISTINCT node_id ORDER BY node_id) AS names FROM e))"
+for _route in R.ROUTES:
     query(f"{_BASE}, {_node_rank(_route)} SELECT query_id, node_id, nrank, round(nscore, 6) AS nscore FROM nr", f"best_fit_nodes_{_route}")(partial(_best_fit, _route))
     query(
         f"{_BASE}, {_CRANK}, {_PRANK}, {_node_rank(_route)}, g AS (SELECT pr.*, row_number() OVER (PARTITION BY pr.query_id ORDER BY nrank, crank, prank)::INTEGER AS rank FROM pr JOIN nr ON nr.query_id = pr.query_id AND nr.node_id = pr.node_id) SELECT query_id, node_id, centroid_id, id, rank, round(score, 6) AS score FROM g WHERE rank <= {K_GET}",
         f"get_{_route}",
     )(partial(_get, _route))
     query(
-        f"{_BASE}, {_NEW}, {_node_rank(_route, 'w', key='id')}, t AS (SELECT w.*, nr.node_id AS to_node FROM w JOIN nr USING (id) WHERE nrank = 1), c2 AS (SELECT * FROM c), b AS ({_BEST_CENTROID}) SELECT t.id, to_node AS node_id, CASE WHEN dead THEN -1 ELSE b.centroid_id END AS centroid_id, CASE WHEN dead THEN 'expired' ELSE 'added' END AS reason FROM t JOIN b USING (id)",
+        f"{_BASE}, {_NEW}, {_FIRST[_route]}, c2 AS (SELECT * FROM c), b AS ({_BEST_CENTROID}) SELECT t.id, to_node AS node_id, CASE WHEN dead THEN -1 ELSE b.centroid_id END AS centroid_id, CASE WHEN dead THEN 'expired' ELSE 'added' END AS reason FROM t JOIN b USING (id)",
         f"put_{_route}",
     )(partial(_put, _route))
+for _route in ("fast", "accurate"):
     query(
         f"{_BASE}, {_drained(_WORST, N_MOVE)}, {_REST}, {_node_rank(_route, 'd', 'n2', 'c2', 'id')}, t AS (SELECT d.*, nr.node_id AS to_node FROM d JOIN nr USING (id) WHERE nrank = 1) {_KEPT} {_BEST_CENTROID}",
         f"distribute_{_route}",
     )(partial(_distribute, _route))
-query(None, "get_random")(partial(_get, "random"))
-query(None, "put_random")(partial(_put, "random"))
+
+
+@query(f"{_BASE}, {_drained(_WORST, N_MOVE)}, t AS (SELECT id, vec FROM d WHERE node_id <> 'n1'), b AS (SELECT id, centroid_id FROM (SELECT t.id, c.centroid_id, row_number() OVER (PARTITION BY t.id ORDER BY {_COS}(t.vec, c.vec) DESC, c.centroid_id) AS k FROM t, c WHERE c.node_id = 'n1') WHERE k = 1) SELECT id, 'n1' AS node_id, centroid_id FROM b UNION ALL SELECT id, node_id, centroid_id FROM e WHERE NOT dead AND id NOT IN (SELECT id FROM t) AND node_id <> 'n1' UNION ALL SELECT id, node_id, centroid_id FROM e WHERE node_id = 'n1'")
+def distribute_to_receivers(spark, sf_dir):
+    """The managers of n0 and n2 give their worst points to the centroids of n1."""
+    s = written_state(state(spark, sf_dir))
+    part = lambda keep: State(s.points.where(keep), s.centroids.where(keep))
+    left, got = C.distribute_to(part("node_id <> 'n1'"), part("node_id = 'n1'"), N_MOVE, NOW)
+    return left.points.unionByName(got.points).select("id", "node_id", "centroid_id")
+
+
+@query(f"{_BASE}, {_CRANK} SELECT id, node_id, centroid_id FROM e WHERE NOT EXISTS (SELECT 1 FROM cr WHERE crank = 1 AND query_id = 0 AND cr.node_id = e.node_id AND cr.centroid_id = e.centroid_id)")
+def take_centroids(spark, sf_dir):
+    """What is left when each manager gives away its centroid nearest to the first vector, with its points."""
+    return C.take_centroids(written_state(state(spark, sf_dir)), searches(spark, sf_dir).where("query_id = 0"), 1)[1].points.select("id", "node_id", "centroid_id")
+
+
+@query(f"{_BASE}, {_CRANK}, {_PRANK}, {_node_rank('fast')}, g AS (SELECT pr.*, row_number() OVER (PARTITION BY pr.query_id ORDER BY nrank, crank, prank)::INTEGER AS rank FROM pr JOIN nr ON nr.query_id = pr.query_id AND nr.node_id = pr.node_id) SELECT id, node_id FROM e WHERE NOT dead AND id NOT IN (SELECT id FROM g WHERE rank <= {K})")
+def get_drain_remainder(spark, sf_dir):
+    """What is left when every query takes its answers out of the store."""
+    return R.get_and_drain(written_state(state(spark, sf_dir)), searches(spark, sf_dir, drain=True), "fast", NOW)[1].points.select("id", "node_id")
+
+
+@query(f"WITH {_E}, x AS (SELECT *, max(centroid_id) OVER (PARTITION BY node_id) AS last, row_number() OVER (PARTITION BY node_id, centroid_id ORDER BY id) AS age, count(*) OVER (PARTITION BY node_id, centroid_id) AS n FROM e), z AS (SELECT *, greatest(0, (n - 20) // 10 + 1) AS times FROM x WHERE n >= 20), f AS (SELECT DISTINCT node_id, centroid_id, times FROM z), b AS (SELECT *, sum(times) OVER (PARTITION BY node_id ORDER BY centroid_id) - times AS before FROM f) SELECT x.id, x.node_id, CASE WHEN b.times IS NOT NULL AND (age - 1) // 10 < b.times THEN (last + before + 1 + (age - 1) // 10)::BIGINT ELSE x.centroid_id END AS centroid_id FROM x LEFT JOIN b USING (node_id, centroid_id)")
+def auto_split(spark, sf_dir):
+    """Adding nothing to centroids that are over the threshold already: each gives its ten oldest points until it is below 20."""
+    s = written_state(state(spark, sf_dir))
+    return C.add_points(s, s.points.where("false"), NOW, threshold=20)[1].points.select("id", "node_id", "centroid_id")
+
 
 _STEAL = f"{_BASE}, z AS (SELECT node_id, centroid_id, count(*) AS n_points FROM e GROUP BY ALL), o AS (SELECT z.*, row_number() OVER (ORDER BY {_COS}(c.vec, t.vec) DESC, c.centroid_id) AS k FROM z JOIN c USING (node_id, centroid_id), n t WHERE z.node_id = 'n0' AND t.node_id = 'n1'), g AS (SELECT *, coalesce(sum(n_points) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM o), moved AS (SELECT * FROM g WHERE before < 60)"
 
