@@ -345,10 +345,29 @@ def test_warc_lookup_and_odd_tables(spark):
     assert bytes(got[5].payload).decode() == "ö" * 300_000 and got[2].payload_bytes == 0
     assert [r["page_id"] for r in index.fetch("http://www.example.org:80/a?b")] == [2, 3]
     assert index.captures("http://nowhere.org/") == []
+    found = {r.page_id: r for r in warc.look_up(index, spark.createDataFrame([*rows[:3], rows[0], rows[3], (9, "http://example.org/", "", "", 0), (3, "http://elsewhere.org/", "", "", 0)], kind), payloads=True).collect()}
+    assert found == {i: got[i] for i in (3, 1, 2, None)}
     empty = warc.write_archives(spark.createDataFrame([], kind))
     assert warc.read_archives(empty).count() == 0 and empty.captures("http://example.org/") == []
 
 
+def test_warc_look_up_bisects_many_small_blocks(spark, monkeypatch):
+    rows = [(i, f"http://{'hot' if i % 3 else f'h{i % 40}'}.org/", f"page {i % 50}") for i in range(600)] + [(7, "http://hot.org/", "page 7"), (7, "http://hot.org/", "another")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    opened = warc.write_archives(pages, block_lines=7)
+    assert opened.directory.count() > 60
+    got = Counter(tuple(r) for r in warc.look_up(opened, pages).collect())
+    assert got == Counter(tuple(r) for r in warc.read_archives(opened).collect()) and sum(got.values()) == len(rows)
+    search = warc._Search(opened.root, opened.at)
+    read = []
+    monkeypatch.setattr(warc, "read_block", lambda *a, own=warc.read_block: read.append(a) or own(*a))
+    assert [e["page_id"] for e in search.entries([("org,hot)/", 7)])] == [7, 7, 7]
+    assert len(read) <= 2  # of all the blocks of that URL
+    assert [c["page_id"] for c in opened.captures("http://hot.org/")] == sorted([i for i in range(600) if i % 3] + [7, 7])
+    ids = [r["headers"]["WARC-Record-ID"] for r in opened.fetch("http://hot.org/")]
+    assert len(ids) == len(set(ids))
+
+
 def test_top_k_exact_and_mostly_eliminated():
     rng = np.random.default_rng(2)
     centres = rng.integers(-64, 64, (40, 8))
