@@ -12,7 +12,7 @@ import base64
 import hashlib
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import ahocorasick
@@ -31,6 +31,9 @@ _SPACED = re.compile(f" [{WS}]|[{WS}] ")
 #: A single space between two characters that aren't white space.
 _LONE = re.compile(f"(?<=[^{WS}]) (?=[^{WS}])")
 _LONG = 1 << 20
+#: The pattern of which it is known that a lone space begins a match, that a word and the space before it are one match,
+#: and that a sign behind it is a match of its own. (Fixed value.)
+WORDS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,7 +50,7 @@ class Encoder:
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 600_000):
-        self.ranks, self.cache_size = ranks, cache_size
+        self.ranks, self.cache_size, self.by_words = ranks, cache_size, pattern == WORDS_PATTERN
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.tokens = {r: t for t, r in ranks.items()}
         self.pairs: dict[tuple[int, int], int] = {}
@@ -165,10 +168,10 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers.
 
-        A single space between two characters that aren't white space always begins a match of the pattern, so a text
-        is cut there first and the results of the parts are memoised.
+        Under ``WORDS_PATTERN`` a single space between two characters that aren't white space always begins a match, so a
+        text is cut there first and the results of the parts are memoised. Any other pattern is matched over whole texts.
         """
-        if not text or text[0] == " " or text[-1] == " ":
+        if not self.by_words or not text or text[0] == " " or text[-1] == " ":
             return self._pieces(text)
         parts = _LONE.split(text) if _SPACED.search(text) else text.split(" ")
         words, out = self.words, [self._pieces(parts[0])]
@@ -198,10 +201,14 @@ class Encoder:
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
+#: Where the rank file is, or a function that says so on whichever machine it is called.
+Place = str | Callable[[], str]
 
 
-def encoder(path: str, pattern: str) -> Encoder:
-    """The encoder of a rank file; a Python worker builds it once."""
+def encoder(path: Place, pattern: str) -> Encoder:
+    """The encoder of a rank file; a Python worker builds it once. A function is asked there, so that each machine opens
+    the file where it has it."""
+    path = path() if callable(path) else path
     if (path, pattern) not in _encoders:
         _encoders[path, pattern] = Encoder(read_ranks(path), pattern)
     return _encoders[path, pattern]
@@ -212,7 +219,7 @@ def _lists(codes: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(codes), "<i4")))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: Place, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with ``token_ids`` (array of int) and ``n_tokens`` (long) of the whole ``text``; a null text is the empty one.
 
     Columns of these names in ``docs`` are replaced; all other columns, nulls and repeated rows stay as they are, and an
@@ -231,7 +238,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     return source.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "text") -> DataFrame:
+def decode(encoded: DataFrame, path: Place, pattern: str, ids: str = "token_ids", out: str = "text") -> DataFrame:
     """``encoded`` with ``out``: the string its ``ids`` stand for (null for null; bytes that aren't UTF-8 become U+FFFD)."""
     source = encoded.select(*[c for c in encoded.columns if c != out or c == ids])
 
@@ -244,7 +251,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids",
     return source.mapInArrow(run, extended(source.schema, **{out: "string"}))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, columns: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, path: Place, pattern: str, columns: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
     """Encode every whole text, decode the ids again, and give ``columns``, n_tokens, ids_sha256 (of the ids as
     little-endian unsigned 32-bit integers), decoded_sha256 (of the decoded bytes) and, if ``ids``, token_ids (array of int),
     one row for each row of ``docs``.
@@ -279,4 +286,4 @@ def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:
     """Every document's tokens under the multilingual rank file, and what they decode to."""
     import public_tokenizers as P
 
-    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), lambda: P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)

@@ -155,3 +155,66 @@ def robust(x: np.ndarray, factor: float, floors: tuple, prior: tuple, prior_rows
         if best is None or np.linalg.det(c) < best[0] * (1 - 1e-9):
             best = np.linalg.det(c), distances(m, c)
     return best
+
+
+def toxicity_features(text: str, words: dict, stems: dict, second: set, signs: str, plain: dict) -> list[float]:
+    """The dense features, word by word."""
+    disguised = re.compile(r"[^\W\d_][0-9@$!*.\-_']+[^\W\d_]|^[0-9@$]+[^\W\d_]{2}")
+    trim = lambda w: w.lower().strip(signs)
+
+    def look(w: str) -> tuple[str, float]:
+        if w in words:
+            return "word", words[w]
+        best = max([stems[w[:k]] for k in range(3, 9) if len(w) >= k and w[:k] in stems], default=0.0)
+        return ("stem", best) if best else ("", 0.0)
+
+    raw = text.split()
+    kinds, weights, seconds, caps, hidden, undone = [], [], [], 0, 0, 0
+    for i, r in enumerate(raw):
+        w = trim(r)
+        kind, weight = look(w)
+        if w in second:
+            seconds.append(i)
+        caps += len(w) > 1 and r.isupper()
+        if disguised.search(w):
+            hidden += 1
+            if not weight:
+                kind, weight = look(trim(w.translate(plain)))
+                undone += kind != ""
+        kinds.append(kind)
+        weights.append(min(255, round(10 * weight)) / 10)
+    n, hits = max(1, len(raw)), [i for i, k in enumerate(kinds) if k]
+    near = sum(1 for i in hits if seconds and min(abs(i - j) for j in seconds) <= 5)
+    data = text.encode()
+    upper, lower = sum(65 <= b <= 90 for b in data), sum(97 <= b <= 122 for b in data)
+    marks = sum(b in b".,;:()[]{}<>*_~#%&$|+=/\\-\"'" for b in data)
+    w, s = kinds.count("word"), kinds.count("stem")
+    return [
+        math.log1p(len(raw)), w, 100 * w / n, s, 100 * s / n, sum(weights), 100 * sum(weights) / n, max(weights, default=0),
+        sum(1 for k, x in zip(kinds, weights, strict=True) if k and x >= 3), 100 * len(seconds) / n, near / max(1, len(hits)), upper / max(1, upper + lower), caps / n,
+        100 * (data.count(b"!") + data.count(b"?")) / max(1, len(data)), 100 * marks / max(1, len(data)), 100 * (hidden + 4 * undone) / n,
+    ]
+
+
+def boosted_score(x: list[float], boosted, knots: tuple) -> float:
+    """The trees one after the other, each from its root to a leaf; then linear interpolation between the knots."""
+    margin = boosted.start
+    for tree in boosted.grown:
+        k = 0
+        while tree[k][0] >= 0:
+            f, cut, _ = tree[k]
+            k = 2 * k + (2 if sum(c < x[f] for c in boosted.cuts[f]) > cut else 1)
+        margin += boosted.rate * tree[k][2]
+    at, p = (v.tolist() for v in knots)
+    if margin <= at[0] or len(at) == 1:
+        return p[0]
+    for a, b, pa, pb in zip(at, at[1:], p, p[1:], strict=False):
+        if margin <= b:
+            return pa + (pb - pa) * (margin - a) / (b - a)
+    return p[-1]
+
+
+def isotonic(y: list[float]) -> list[float]:
+    """The rising sequence nearest to y: at each place the largest, over beginnings, of the smallest mean over ends."""
+    n = len(y)
+    return [max(min(sum(y[a : b + 1]) / (b + 1 - a) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]

@@ -137,6 +137,9 @@ def test_held_out_accuracy(spark, name, label, least):
     rows = registry.QUERIES[name](spark, MIDDLE).join(labels, "doc_id").where("held_out").collect()
     assert len(rows) > 20
     assert np.mean([r.predicted == r[label] for r in rows]) >= least
+    both = [[r for r in rows if r[label] == y] for y in (0, 1)]  # always saying the commoner label would be near 0.9
+    assert all(np.mean([r.predicted == r[label] for r in own]) >= 0.75 for own in both)
+    assert np.mean([(b.score > a.score) + (b.score == a.score) / 2 for a in both[0] for b in both[1]]) >= 0.95
 
 
 def test_network_score_covers_the_whole_text():
@@ -147,6 +150,32 @@ def test_network_score_covers_the_whole_text():
     assert net.score(None) == net.score("")
 
 
+def test_toxicity_like_the_plain_version(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{MIDDLE}/labels.parquet"))
+    assert model.boosted is not None and len(model.lexicon.words) > 0
+    rows = docs.where("n_chars < 20000").orderBy("doc_id").limit(300).collect()
+    texts = {r.doc_id: r.text or "" for r in rows} | {-1: "", -2: "YOU f00l! y.o.u idi0t @you", -3: " ".join(model.lexicon.words) + " you"}
+    names = "doc_id long, text string"
+    got = {r.doc_id: r.score for r in toxicity.scores(spark.createDataFrame(list(texts.items()), names), model).collect()}
+    codes = toxicity.Codes(model.lexicon)
+    for i, t in texts.items():
+        x = brute.toxicity_features(t, model.lexicon.words, model.lexicon.stems, toxicity.SECOND, toxicity._SIGNS, toxicity._PLAIN)
+        assert toxicity.features(t, codes).tolist() == pytest.approx(x, rel=1e-9, abs=1e-9)
+        assert got[i] == pytest.approx(brute.boosted_score(x, model.boosted, model.knots), abs=1e-9)
+
+
+def test_isotonic_like_the_plain_version():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        y = (rng.random(40) < np.linspace(0.1, 0.8, 40)).astype(float)
+        want = brute.isotonic(y.tolist())
+        blocks = [[i for i in range(40) if abs(want[i] - v) < 1e-12] for v in sorted(set(np.round(want, 12)))]
+        x, p = toxicity.isotonic(np.arange(40.0), y)
+        assert x.tolist() == pytest.approx([np.mean(b) for b in blocks])
+        assert p.tolist() == pytest.approx(np.maximum.accumulate([(y[b].sum() + y.mean()) / (len(b) + 1) for b in blocks]).tolist())
+
+
 def test_isotonic_rises():
     x, p = toxicity.isotonic(np.array([0.0, 1, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1, 1]))
     assert (np.diff(x) > 0).all() and (np.diff(p) >= 0).all()
@@ -278,7 +307,12 @@ def test_bpe_like_tiktoken(spark, odd, none):
     for t in texts:
         ids = np.frombuffer(own.encode(t or ""), "<u4").tolist()
         assert ids == lib.encode_ordinary(t or "") and own.decode(np.array(ids, "<u4").tobytes()) == (t or "").encode()
-    encoded = bpe.encode(odd, path, P.PATTERN)
+    assert own.by_words
+    other = r"[ab]+|[^ab ]+ ?| +"  # in which a lone space ends a match
+    apart, theirs = bpe.Encoder(ranks, other), tiktoken.Encoding("other", pat_str=other, mergeable_ranks=ranks, special_tokens={})
+    for t in ("a word about spaces, and  more", " b", "x ", "", "Abba 12 ab"):
+        assert np.frombuffer(apart.encode(t), "<u4").tolist() == theirs.encode_ordinary(t)
+    encoded = bpe.encode(odd, lambda: path, P.PATTERN)
     back = bpe.decode(encoded.drop("text"), path, P.PATTERN)
     assert Counter(r.text for r in back.collect()) == Counter(r.text or "" for r in odd.collect())
     assert bpe.encode(none, path, P.PATTERN).count() == 0
