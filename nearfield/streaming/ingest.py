@@ -12,11 +12,11 @@ from nearfield.sources.store import Store
 
 
 def put_stream(points: DataFrame, store: Store, checkpoint: str, route: str = "fast", now: Now = None, trigger: dict | None = None) -> StreamingQuery:
-    """Put a stream of points; a micro-batch that is repeated after a failure finds its points present and adds none twice."""
+    """Put a stream of points. The store keeps the number of the last micro-batch of each stream (by checkpoint), so that
+    one repeated after a failure adds nothing twice, and no batch is compared with what is stored."""
 
     def put(batch: DataFrame, number: int) -> None:
-        known = store.load().points.select("namespace", "id", "seq")
-        store.put(batch.join(known, ["namespace", "id", "seq"], "left_anti").select(*batch.columns), route, now)
+        store.put(batch, route, now, stream=checkpoint, number=number)
 
     return points.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -4,13 +4,14 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
-from states import NOW, queries, sizes
+from states import NOW, centroid_vectors, queries, sizes
 from test_centroids import new_points
 
+from nearfield.operators import centroids as C
 from nearfield.plans.maintenance import Config, Skips, maintenance_cycle
 from nearfield.plans.state import meta_counts
 from nearfield.sources.requests import put_requests, query_requests, responses
-from nearfield.sources.store import NamespaceNotFound, Store
+from nearfield.sources.store import NamespaceNotFound, Store, WriteConflict
 from nearfield.streaming import put_stream
 
 
@@ -48,6 +49,64 @@ def test_unmarked_versions_are_not_seen(spark, store, tmp_path):
     assert store.version() == 2 and store.load().points.count() == 2
 
 
+def _written_bytes(tmp_path) -> int:
+    return sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+
+
+def test_a_put_writes_its_batch_alone(spark, store, tmp_path):
+    store.put(new_points(spark, *[(1, i / 7) for i in range(1, 4000)]).drop("node_id"), now=NOW)
+    first = _written_bytes(tmp_path)
+    store.put(new_points(spark, (1, 2)).drop("node_id").withColumn("seq", F.lit(9).cast("long")), now=NOW)
+    assert _written_bytes(tmp_path) - first < first / 8 and store.load().points.count() == 4000
+    # running counts and sums give the means of all points
+    exact = C.move_vector(store.load())
+    assert centroid_vectors(store.load())["n0", 0] == pytest.approx(centroid_vectors(exact)["n0", 0])
+    store.query(queries(spark, (1, 3), k=40, drain=True), now=NOW)
+    exact = C.move_vector(store.load())
+    assert store.load().points.count() == 3960 and centroid_vectors(store.load())["n0", 0] == pytest.approx(centroid_vectors(exact)["n0", 0])
+
+
+def test_drained_points_can_come_back_and_deltas_are_compacted(spark, store):
+    store.compact_after = 3
+    rows = new_points(spark, (1, 2), (1, 3)).drop("node_id")
+    for n in range(4):
+        store.put(rows, now=NOW)
+        assert store.load().points.count() == 2
+        store.query(queries(spark, (1, 2), k=2, drain=True), now=NOW)
+        assert store.load().points.count() == 0 and centroid_vectors(store.load())["n0", 0] == (1, 2.5)
+    assert len(store._chain(store.version())) <= 4
+    store.put(rows, now=NOW)
+    version = store.version()
+    store.vacuum(1)
+    assert store.version() == version and store.load().points.count() == 2
+
+
+def test_a_put_splits_down_to_the_threshold(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/split", Config(split_threshold=6))
+    store.put(new_points(spark, *[(1, 1 + i / 100) for i in range(23)]).drop("node_id"), now=NOW)
+    state = store.load()
+    assert sizes(state) == {("n0", 0): 5, **{("n0", k): 3 for k in range(1, 7)}}
+    exact = centroid_vectors(C.move_vector(state))
+    assert all(v == pytest.approx(exact[k]) for k, v in centroid_vectors(state).items())
+
+
+def test_one_of_two_writers_commits(spark, store, monkeypatch):
+    store.put(new_points(spark, (1, 2)).drop("node_id"), now=NOW)
+    late = Store(spark, store.path)
+    monkeypatch.setattr(late, "version", lambda own=store.version(): own)
+    store.put(new_points(spark, (1, 3)).drop("node_id"), now=NOW)
+    with pytest.raises(WriteConflict):
+        late.put(new_points(spark, (1, 4)).drop("node_id"), now=NOW)
+    assert sorted(tuple(r.vec) for r in store.load().points.collect()) == [(1, 2), (1, 3)]
+
+
+def test_a_repeated_batch_adds_nothing(spark, store):
+    rows = new_points(spark, (1, 2)).drop("node_id")
+    assert store.put(rows, now=NOW, stream="s", number=0).count() == 1
+    assert store.put(rows, now=NOW, stream="s", number=0) is None and store.put(rows, now=NOW, stream="t", number=0).count() == 1
+    assert store.load().points.count() == 2
+
+
 def test_requests(spark):
     put = spark.createDataFrame([('{"namespace":"a","accurate":true,"dp":{"vec":[1,2],"payload":"aGk=","expires":"2024-05-01T00:00:00Z","expireEnabled":true}}',)], "value string")
     r = put_requests(put).first()
