@@ -49,7 +49,7 @@ class Encoder:
     when full.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 300_000):
         self.ranks, self.cache_size, self.by_words = ranks, cache_size, pattern == WORDS_PATTERN
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.tokens = {r: t for t, r in ranks.items()}
@@ -106,7 +106,7 @@ class Encoder:
         found = token
         while found >= 0 and not self._can_follow(last, found):
             found = self.shorter[found]
-        if len(self.fits) >= 4 * self.cache_size:
+        if len(self.fits) >= 2 * self.cache_size:
             self.fits.clear()
         self.fits[last << 32 | token] = found
         return found

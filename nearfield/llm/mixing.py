@@ -12,7 +12,7 @@ import math
 from collections.abc import Iterator, Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -36,7 +36,7 @@ def _uniform(*parts: Column) -> Column:
 class _Inverse:
     """Inverts Poisson distributions; the distribution functions of the rates last asked about are kept."""
 
-    def __init__(self, kept: int = 4_000_000):
+    def __init__(self, kept: int = 1_000_000):
         self.tables: dict[float, tuple[int, np.ndarray]] = {}
         self.kept = kept
 
@@ -69,11 +69,11 @@ class _Inverse:
         return out
 
 
-@F.pandas_udf(LongType())
-def _count(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+@F.arrow_udf(LongType())
+def _count(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     inverse = _Inverse()
     for u, rate in parts:
-        yield pd.Series(inverse.counts(u.to_numpy(), rate.to_numpy()))
+        yield pa.array(inverse.counts(np.asarray(u), np.asarray(rate)), pa.int64())
 
 
 def _most(rate: float) -> int:
