@@ -49,7 +49,7 @@ class Encoder:
     when full.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 100_000):
         self.ranks, self.cache_size, self.by_words = ranks, cache_size, pattern == WORDS_PATTERN
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.tokens = {r: t for t, r in ranks.items()}
