@@ -30,6 +30,8 @@ MIN_WORDS = 50
 _NO_ID = -(1 << 63)
 #: Rows of one rank are dealt over so many ranges of the next rank when they are counted up.
 _RANGES = 256
+#: A key that holds more than one in so many of the rows of a join is hot; so there are fewer hot keys than this at any size.
+_HOT = 2000
 
 
 def _windows(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +58,7 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
                 n = len(own)
                 h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in raw]), ">i8").reshape(n, 2)
                 ahead, behind = _windows(np.array([len(x.split()) for x in raw]), min_words)
-                th = np.uint64(xxhash.xxh64_intdigest(b"\n".join(raw))).astype(np.int64)
+                th = np.uint64(xxhash.xxh64_intdigest(b"\n".join(raw), 42)).astype(np.int64)  # as Spark's xxhash64
                 for c, v in zip(cols, (np.full(n, _NO_ID if i is None else i), np.full(n, th), np.arange(n), h[:, 0], h[:, 1], ahead, behind), strict=True):
                     c.append(v)
             if cols[0]:
@@ -81,11 +83,22 @@ def _counted_up(groups: DataFrame, by: list[str], order: list[str], bucket: Colu
     return inner.join(sums, [*by, "bucket"]).withColumn("before", F.col("base") + F.col("inner")).drop("bucket", "base", "inner")
 
 
+def _joined(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined to the written ``groups``: one row for each key that counts, with the number ``n`` of the key's rows.
+
+    Rows of hot keys stay where they are and meet a broadcast of fewer than ``_HOT`` groups; the others are shuffled.
+    """
+    bar = (groups.agg(F.sum("n")).first()[0] or 0) // _HOT
+    hot, cold = F.broadcast(groups.where(F.col("n") > bar).drop("n")), groups.where(F.col("n") <= bar).drop("n")
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
 def suffix_ranks(table: DataFrame, longest: int) -> list[DataFrame]:
     """``ranks[k]``: (id, th, ln, r) of the lines whose first 2**k lines occur elsewhere too, while 2**k <= ``longest``."""
     repeated = table.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    first = _counted_up(repeated, [], ["h1", "h2"], F.shiftright("h1", 48)).select("h1", "h2", F.col("before").alias("r"))
-    ranks = [written(table.select("id", "th", "ln", "h1", "h2").join(first, ["h1", "h2"]).select("id", "th", "ln", "r"), "ranks")]
+    first = written(_counted_up(repeated, [], ["h1", "h2"], F.shiftright("h1", 48)).select("h1", "h2", "n", F.col("before").alias("r")), "groups")
+    ranks = [written(_joined(table.select("id", "th", "ln", "h1", "h2"), first, ["h1", "h2"]).select("id", "th", "ln", "r"), "ranks")]
+    forget(first)
     size = 1
     while 2 * size <= longest:
         now = ranks[-1]
@@ -93,9 +106,9 @@ def suffix_ranks(table: DataFrame, longest: int) -> list[DataFrame]:
         further = now.select("id", "th", (F.col("ln") - size).alias("ln"), F.col("r").alias("s"))
         pairs = written(now.join(further, ["id", "th", "ln"]), "pairs")
         repeated = pairs.groupBy("r", "s").agg(F.count("*").alias("n")).where("n > 1")
-        finer = _counted_up(repeated, ["r"], ["s"], F.floor(F.col("s") / step)).select("r", "s", (F.col("r") + F.col("before")).alias("finer"))
-        ranks.append(written(pairs.join(finer, ["r", "s"]).select("id", "th", "ln", F.col("finer").alias("r")), "ranks"))
-        forget(pairs)
+        finer = written(_counted_up(repeated, ["r"], ["s"], F.floor(F.col("s") / step)).select("r", "s", "n", (F.col("r") + F.col("before")).alias("finer")), "groups")
+        ranks.append(written(_joined(pairs, finer, ["r", "s"]).select("id", "th", "ln", F.col("finer").alias("r")), "ranks"))
+        forget(pairs, finer)
         size *= 2
     return ranks
 
@@ -124,9 +137,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     tail = every.select("k", "id", "th", F.col("ln").alias("last"), F.col("r").alias("b"))
     found = asked.join(head, ["k", "id", "th", "start"]).withColumn("last", F.expr("start + size - shiftleft(1, k)")).join(tail, ["k", "id", "th", "last"])
     found = written(found.select("id", "th", "start", "size", "a", "b"), "runs")
-    earliest = found.groupBy("size", "a", "b").agg(F.min(F.struct("id", "th", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = written(found.join(earliest, ["size", "a", "b"]).where(F.struct("id", "th", "start") > F.col("first")).select("id", "th", "start", "size"), "later")
-    forget(table, found, *ranks)
+    earliest = written(found.groupBy("size", "a", "b").agg(F.min(F.struct("id", "th", "start")).alias("first"), F.count("*").alias("n")).where("n > 1"), "groups")
+    later = written(_joined(found, earliest, ["size", "a", "b"]).where(F.struct("id", "th", "start") > F.col("first")).select("id", "th", "start", "size"), "later")
+    forget(table, found, earliest, *ranks)
     return later
 
 
@@ -140,12 +153,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     docs = docs.drop("n_lines", "n_removed")
     later = repeated_runs(docs, min_words).groupBy(F.col("id").alias("__id"), F.col("th").alias("__of")).agg(F.collect_list("start").alias("__starts"), F.collect_list("size").alias("__sizes"))
 
-    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            th = [xxhash.xxh64_intdigest((t.as_py() or "").encode()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(th, np.uint64).astype(np.int64))], [*batch.schema.names, "__th"])
-
-    known = docs.mapInArrow(hashed, extended(docs.schema, __th="long"))
+    known = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     both = known.join(later, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)) == F.col("__id")) & (F.col("__th") == F.col("__of")), "left").drop("__id", "__of", "__th")
     schema, names = extended(docs.schema, n_lines="long", n_removed="long"), docs.columns
 

@@ -15,6 +15,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
 from nearfield.llm import bpe, chat, line_runs, mixing, pivots, quality_cnn, quality_rules, registry, similar, simhash, toxicity, warc
+from nearfield.sources.scratch import written
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, th long, `key` string, label string, n long"
@@ -294,6 +295,15 @@ def test_lines_odd_tables(odd, none):
     assert line_runs.remove_repeats(none).count() == 0
 
 
+def test_hot_keys_are_joined_like_others(spark):
+    rows = spark.range(30_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 7000 END AS key")
+    groups = written(rows.groupBy("key").count().selectExpr("key", "count AS n", "key * 2 AS twice"), "groups").where("key <> 5")
+    hot = groups.where("n > 15").count()
+    got = {(r.id, r.key, r.twice) for r in line_runs._joined(rows, groups, ["key"]).collect()}
+    want = {(i, k, 2 * k) for i in range(30_000) if (k := 0 if i % 3 == 0 else i % 7000) != 5}
+    assert got == want and 0 < hot < groups.count()
+
+
 def test_bpe_like_tiktoken(spark, odd, none):
     import public_tokenizers as P
     import tiktoken
