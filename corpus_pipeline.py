@@ -48,12 +48,19 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", good_quality), ("line dedup", without_repeated_lines), ("SimHash near-dedup", one_of_each), ("mixing", mixed), ("byte-level BPE", tokens)]
 
+#: What a Python worker holds at once, and the JVM's copy of it: rows and bytes of an Arrow batch. Whole texts of any length
+#: pass; a longer one is a batch of its own.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
 #: A network's scores are out of SQL's reach; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each written to the shared folder and read again by the next."""
+    """All stages over the documents of ``sf_dir``, each written to the shared folder and read again by the next. Sets the
+    session's Arrow batches to ``BATCH``, since one session's executors hold the workers of all stages."""
+    for name, value in BATCH.items():
+        spark.conf.set(name, value)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
