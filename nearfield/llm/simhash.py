@@ -3,8 +3,9 @@
 A 64-bit fingerprint is a ring of four 16-bit segments. If two fingerprints differ in at most ``radius`` bits, then from
 some segment on, every chain of l consecutive segments differs in at most l * radius / 4 bits. So for radius 3 there is
 a start whose own segment is equal, whose first two segments differ in one bit at most, the first three in two. The
-first two conditions make a 32-bit join key (one side carries the one-bit variants of its second segment); the third
-and the full distance are checked on each candidate, and a pair is emitted at its first such start only.
+first two conditions make a 32-bit join key: of two second segments that differ in one bit one has an even number of bits,
+and only that one carries its one-bit variants. The third condition and the full distance are checked on each candidate,
+and a pair is emitted at its first such start only.
 """
 
 from __future__ import annotations
@@ -78,12 +79,18 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
         raise ValueError("radius must be from 0 to 3: the join key holds two chained segments of a ring of four")
     starts = distinct.select("fp", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("start"))
     key = lambda second: F.expr(f"shiftleft(cast(start AS bigint), 32) | shiftleft({_segment('fp', 'start', 0)}, 16) | ({second})")
-    base = starts.select(key(_segment("fp", "start", 1)).alias("key"), F.col("fp").alias("b"))
-    variants = F.array(F.lit(0), *[F.lit(1 << k) for k in range(16)]).cast("array<bigint>")
-    probe = starts.select("fp", "start", F.explode(variants).alias("flip")).select(key(f"{_segment('fp', 'start', 1)} ^ flip").alias("key"), F.col("fp").alias("a"))
-    return probe.join(base, "key").where(
-        (F.col("a") < F.col("b")) & (_first_start(F.col("a").bitwiseXOR(F.col("b")), radius) == F.shiftright("key", 32))
-    ).select("a", "b")
+    second = _segment("fp", "start", 1)
+    base = starts.select(key(second).alias("key"), F.col("fp").alias("b"))
+    # second segments one bit apart have an odd and an even number of bits: only the even one carries its variants
+    same = F.array(F.lit(0)).cast("array<bigint>")
+    flips = F.array(F.lit(0), *[F.lit(1 << k) for k in range(16)]).cast("array<bigint>")
+    variants = F.when(F.expr(f"bit_count({second}) % 2 = 0"), flips).otherwise(same)
+    probe = starts.select("fp", "start", F.explode(variants).alias("flip")).select(key(f"{second} ^ flip").alias("key"), F.col("fp").alias("a"))
+    start = F.shiftright("key", 32)
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    # a pair of equal second segments meets twice, one of unequal ones once
+    once = (F.col("a") < F.col("b")) | (F.expr(_segment("(a ^ b)", "cast(shiftright(key, 32) AS int)", 1)) != 0)
+    return probe.join(base, "key").where(once & (_first_start(x, radius) == start)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
