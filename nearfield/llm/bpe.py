@@ -191,6 +191,11 @@ class Encoder:
             out.append(found)
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Empties what is memoised: a worker that goes on to other tasks keeps the tables only."""
+        for memo in (self.pieces, self.words, self.fits):
+            memo.clear()
+
     def decode(self, ids: bytes | np.ndarray) -> bytes:
         """The bytes that ids (as ``encode`` gives them) stand for. An unknown id is a ValueError."""
         tokens = self.tokens
@@ -234,6 +239,7 @@ def encode(docs: DataFrame, path: Place, pattern: str, text: str = "text") -> Da
         for batch in batches:
             ids = _lists([bpe.encode(t or "") for t in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, ids.value_lengths().cast(pa.int64())], [*batch.schema.names, "token_ids", "n_tokens"])
+        bpe.forget()
 
     return source.mapInArrow(run, schema)
 
@@ -278,6 +284,7 @@ def round_trip(docs: DataFrame, path: Place, pattern: str, columns: tuple[str, .
             if ids:
                 found.append(_lists(codes))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *found], schema.names)
+        bpe.forget()
 
     return source.mapInArrow(run, schema)
 
