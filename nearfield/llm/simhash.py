@@ -136,7 +136,8 @@ def first_rows(rows: DataFrame, key: str, labels: DataFrame) -> DataFrame:
     own = rows.select(F.col(key).alias("node"), F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.xxhash64("text").alias("h"), "__row").alias("row"))
     nodes = own.groupBy("node").agg(F.min("row").alias("row")).join(labels, "node", "left")
     first = written(nodes.groupBy(F.coalesce("label", "node")).agg(F.min("row").alias("row")).select(F.col("row.__row").alias("__row")), "first")
-    return rows.join(first, "__row", "left_semi")
+    gone = written(rows.select("__row").join(first, "__row", "left_anti"), "gone")  # mostly few: then no text is shuffled
+    return rows.join(gone, "__row", "left_anti")
 
 
 def keep_first(docs: DataFrame, n: int = 3, radius: int = 3) -> DataFrame:
