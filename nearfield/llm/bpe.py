@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import extended
+from nearfield.llm.common import extended, release
 
 #: White space as Unicode's White_Space property has it (Python's own \s has four control characters more).
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -240,6 +240,7 @@ def encode(docs: DataFrame, path: Place, pattern: str, text: str = "text") -> Da
             ids = _lists([bpe.encode(t or "") for t in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, ids.value_lengths().cast(pa.int64())], [*batch.schema.names, "token_ids", "n_tokens"])
         bpe.forget()
+        release()
 
     return source.mapInArrow(run, schema)
 
@@ -285,6 +286,7 @@ def round_trip(docs: DataFrame, path: Place, pattern: str, columns: tuple[str, .
                 found.append(_lists(codes))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *found], schema.names)
         bpe.forget()
+        release()
 
     return source.mapInArrow(run, schema)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
@@ -15,6 +18,14 @@ def extended(schema: StructType, **more: str) -> StructType:
     return out
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the machine: a Python worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_chars: int, fold: int = 1) -> DataFrame:
     """A bounded sample of labelled rows to fit a classifier on: (doc_id, text, label).
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import extended
+from nearfield.llm.common import extended, release
 from nearfield.sources.scratch import forget, written
 
 MIN_WORDS = 50
@@ -64,6 +64,7 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
             if cols[0]:
                 types = ("<i8", "<i8", "<i4", "<i8", "<i8", "<i4", "<i4")
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(cols, types, strict=True)], ["id", "th", "ln", "h1", "h2", "ahead", "behind"])
+        release()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "id long, th long, ln int, h1 long, h2 long, ahead int, behind int")
@@ -177,6 +178,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 texts.append("\n".join([x for x, d in zip(own, drop.tolist(), strict=True) if not d]))
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], schema.names)
+        release()
 
     return both.mapInArrow(cut, schema)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import training_rows
+from nearfield.llm.common import release, training_rows
 
 CHUNK = 192
 _BLOCK = 256 * CHUNK
@@ -143,6 +143,7 @@ def scores(docs: DataFrame, net: Net) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([net.score(t.as_py()) for t in batch.column("text")], pa.float64())], ["doc_id", "score"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -156,6 +157,7 @@ def accepted(docs: DataFrame, net: Net, threshold: float = 0.5) -> DataFrame:
         for batch in batches:
             keep = pa.array([net.score(t.as_py()) >= threshold for t in batch.column(at)], pa.bool_())
             yield batch.filter(keep)
+        release()
 
     return docs.mapInArrow(run, schema)
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import extended
+from nearfield.llm.common import extended, release
 from nearfield.sources.scratch import forget, written
 
 _BLOCK = 1 << 16
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), n) for t in batch.column("text")], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
@@ -149,6 +150,7 @@ def keep_first(docs: DataFrame, n: int = 3, radius: int = 3) -> DataFrame:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), n) for t in batch.column("__text")], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], [*batch.schema.names, "__fp"])
+        release()
 
     rows = written(numbered.mapInArrow(run, extended(numbered.schema, __fp="long")).drop("__text"), "fingerprints")
     nodes = written(rows.select(F.col("__fp").alias("fp")).distinct(), "nodes")
