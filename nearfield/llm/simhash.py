@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import extended, release
-from nearfield.sources.scratch import forget, written
+from nearfield.sources.scratch import forget, measured, sided, written
 
 _BLOCK = 1 << 16
 
@@ -75,7 +75,10 @@ def _first_start(x: Column, radius: int) -> Column:
 
 
 def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b), a < b: each pair of the distinct fingerprints (column fp) that differs in at most ``radius`` bits, once."""
+    """(a, b), a < b: each pair of the distinct fingerprints (column fp) that differs in at most ``radius`` bits, once.
+
+    Neither side of the join is broadcast: Spark takes both for as large as ``distinct``, of which they are many times.
+    """
     if not 0 <= radius <= 3:
         raise ValueError("radius must be from 0 to 3: the join key holds two chained segments of a ring of four")
     starts = distinct.select("fp", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("start"))
@@ -91,7 +94,7 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     x = F.col("a").bitwiseXOR(F.col("b"))
     # a pair of equal second segments meets twice, one of unequal ones once
     once = (F.col("a") < F.col("b")) | (F.expr(_segment("(a ^ b)", "cast(shiftright(key, 32) AS int)", 1)) != 0)
-    return probe.join(base, "key").where(once & (_first_start(x, radius) == start)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return probe.join(base.hint("merge"), "key").where(once & (_first_start(x, radius) == start)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -101,13 +104,13 @@ def components(edges: DataFrame) -> DataFrame:
     round's labels are written to the shared folder, and it ends when a round changes nothing.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
-    while True:
-        seen = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), "label")
+    labels, _, size = measured(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    while True:  # as many labels in each round
+        seen = both.join(sided(labels, size), both.b == labels.node).select(F.col("a").alias("node"), "label")
         near = written(labels.union(seen).groupBy("node").agg(F.min("label").alias("label")), "labels")
         up = near.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        new = written(near.join(up, "label").select("node", F.col("above").alias("label")), "labels")
-        changed = new.join(labels, "node").where(new.label != labels.label).limit(1).count()
+        new = written(near.join(sided(up, size), "label").select("node", F.col("above").alias("label")), "labels")
+        changed = new.join(sided(labels, size), "node").where(new.label != labels.label).limit(1).count()
         forget(near, labels)
         labels = new
         if not changed:
@@ -135,10 +138,10 @@ def first_rows(rows: DataFrame, key: str, labels: DataFrame) -> DataFrame:
     """One of the written ``rows`` (with doc_id, text and a unique __row) of each component: that with the smallest doc_id,
     nulls last, ties to the smallest hash of the text. ``labels`` (node, label) link values of ``key``; others stand alone."""
     own = rows.select(F.col(key).alias("node"), F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.xxhash64("text").alias("h"), "__row").alias("row"))
-    nodes = own.groupBy("node").agg(F.min("row").alias("row")).join(labels, "node", "left")
+    nodes = own.groupBy("node").agg(F.min("row").alias("row")).join(labels.hint("merge"), "node", "left")
     first = written(nodes.groupBy(F.coalesce("label", "node")).agg(F.min("row").alias("row")).select(F.col("row.__row").alias("__row")), "first")
-    gone = written(rows.select("__row").join(first, "__row", "left_anti"), "gone")  # mostly few: then no text is shuffled
-    return rows.join(gone, "__row", "left_anti")
+    gone, _, size = measured(rows.select("__row").join(first.hint("merge"), "__row", "left_anti"), "gone")
+    return rows.join(sided(gone, size), "__row", "left_anti")  # mostly few are gone: then no text is shuffled
 
 
 def keep_first(docs: DataFrame, n: int = 3, radius: int = 3) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, Struc
 
 #: Tables of at most so many bytes (as rows hold them, not as files do) are broadcast.
 BROADCAST_BYTES = 64 << 20
+#: The same for sides of narrow rows, for which a driver holds some ten times their bytes while it builds what it broadcasts.
+SIDE_BYTES = 4 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -69,6 +71,12 @@ def small(df: DataFrame, name: str = "small", limit: int = BROADCAST_BYTES) -> D
     return F.broadcast(table) if size <= limit else table
 
 
+def sided(side: DataFrame, size: int) -> DataFrame:
+    """A side of a join with at most ``size`` bytes: marked for broadcast up to ``SIDE_BYTES``, else for a merge join. Spark
+    itself would go by the files below, whatever they are compressed to and however many rows are made of one."""
+    return F.broadcast(side) if size <= SIDE_BYTES else side.hint("merge")
+
+
 def forget(*frames: DataFrame) -> None:
     """Remove the files of superseded ``written`` tables (their inputs must not be needed again)."""
     for df in frames:

@@ -15,6 +15,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
 from nearfield.llm import bpe, chat, line_runs, mixing, pivots, quality_cnn, quality_rules, registry, similar, simhash, toxicity, warc
+from nearfield.sources import scratch
 from nearfield.sources.scratch import written
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -104,6 +105,24 @@ def test_keep_first_leaves_one_row_of_each_component(spark):
     assert Counter(map(tuple, kept.collect())) == Counter([(1, "a b c d"), (5, "quite another text"), (None, "nobody's")])
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_broadcast_no_side_however_small_its_files(spark):
+    prints = written(spark.range(1000).select(F.xxhash64("id").alias("fp")), "prints")
+    assert "Broadcast" not in _plan(simhash.links(prints))
+
+
+def test_keep_first_broadcasts_by_measured_bytes_only(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    few = simhash.keep_first(docs)
+    monkeypatch.setattr(scratch, "SIDE_BYTES", -1)
+    many = simhash.keep_first(docs)
+    assert "Broadcast" in _plan(few) and "Broadcast" not in _plan(many)
+    assert sorted(few.collect()) == sorted(many.collect()) and few.count() < docs.count()
+
+
 def test_similar_stage_finds_every_similar_pair(spark):
     import corpus_pipeline
 
