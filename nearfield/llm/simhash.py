@@ -123,15 +123,16 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3) -> DataFrame:
 
     Fingerprints link at ``radius`` or fewer differing bits; component_id is the smallest doc_id reachable over links.
     A null or empty text has fingerprint 0 and links like any other; repeated rows stay and share a component; null
-    doc_ids stay and never name a component unless all of it is null; an empty table gives no rows.
+    doc_ids stay and never name a component unless all of it is null; an empty table gives no rows. Tables with a row for
+    each fingerprint are never broadcast: a row is a few bytes, so moving both sides costs little.
     """
     found = written(fingerprints(docs, n), "fingerprints")
     nodes = written(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     labels = components(links(nodes, radius))
-    linked = written(nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "linked")
+    linked = written(nodes.join(labels.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "linked")
     smallest = linked.where("label <> fp OR first IS NOT NULL").groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = written(linked.join(smallest, "label", "left").select("fp", "component_id"), "classes")
-    return found.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = written(linked.join(smallest.hint("merge"), "label", "left").select("fp", "component_id"), "classes")
+    return found.join(classes.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def first_rows(rows: DataFrame, key: str, labels: DataFrame) -> DataFrame:

@@ -114,6 +114,12 @@ def test_links_broadcast_no_side_however_small_its_files(spark):
     assert "Broadcast" not in _plan(simhash.links(prints))
 
 
+def test_near_duplicates_broadcast_no_side(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = simhash.near_duplicates(docs)
+    assert "Broadcast" not in _plan(got) and got.count() == docs.count()
+
+
 def test_keep_first_broadcasts_by_measured_bytes_only(spark, monkeypatch):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     few = simhash.keep_first(docs)
