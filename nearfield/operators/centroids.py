@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.ttl import expired
 from nearfield.functions.vectors import cosine, norm, vec_mean
+from nearfield.operators.blocks import LEAST, MOST, block_best
 from nearfield.operators.search import nearest, usable
 from nearfield.plans.state import CENTROID, MANAGER, POINT_COLUMNS, State
 from nearfield.sources.scratch import small, written
@@ -146,31 +147,49 @@ def take_centroids(state: State, queries: DataFrame, n: int) -> tuple[DataFrame,
     return found, state.having(state.points.join(gone, CENTROID, "left_anti"), state.centroids.join(gone, CENTROID, "left_anti"))
 
 
-def probe(points: DataFrame, probes: DataFrame, queries: DataFrame, k: Column) -> DataFrame:
-    """``probes`` (query_id, centroid, crank, ...) joined with the centroids' points: each query's ``k`` best of each
+def plain(value: Column | str) -> Column:
+    """Whether a vector has a score with every other such vector of its length."""
+    n = norm(value)
+    return F.coalesce((n > LEAST) & (n < MOST), F.lit(False))
+
+
+def still_missing(state_points: DataFrame, probes: DataFrame, queries: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``probes`` whose ``ask`` is held to what of the query's k the earlier ones (per ``by``, in ``order``) are sure to leave
+    missing; those that nothing is left for are dropped. Only points that are sure to score count, so the first k rows stay."""
+    sizes = small(state_points.where(plain("vec")).groupBy(*CENTROID, F.size("vec").alias("__dim")).agg(F.count("*").alias("__n")), "sizes")
+    q = queries.select("query_id", F.col("k").cast("long").alias("__k"), F.when(plain("vec"), F.size("vec")).alias("__dim"))
+    counted = probes.join(q, "query_id").join(sizes, [*CENTROID, "__dim"], "left")
+    sure = F.least(F.col("ask").cast("long"), F.coalesce("__n", F.lit(0)))
+    before = F.sum(sure).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    left = counted.withColumn("ask", F.least(F.col("ask").cast("long"), F.col("__k") - F.coalesce(before, F.lit(0))))
+    return left.where("ask > 0").select(*probes.columns)
+
+
+def probe(points: DataFrame, probes: DataFrame, queries: DataFrame) -> DataFrame:
+    """``probes`` (query_id, centroid, ask, ...) joined with the centroids' points: each query's ``ask`` best of each
     probed centroid, with score and prank. Payloads are left behind; they join by id at the end. ``queries`` are such as
     ``small`` has measured."""
-    q = queries.select("query_id", F.col("vec").alias("qvec"), "k").withColumn("qn", norm("qvec"))
-    rows = points.select(*CENTROID, "id", "seq", "vec").join(probes, CENTROID).join(q, "query_id")
-    scored = rows.withColumn("score", cosine("qvec", "vec", F.col("qn"))).where(usable("score")).drop("qvec", "vec", "qn")
+    asked = written(probes.withColumnRenamed("ask", "k").where("k > 0"), "probes")
+    scored = block_best(asked.join(queries.select("query_id", "vec"), "query_id"), points.select(*CENTROID, "id", "seq", "vec"), CENTROID)
     order = Window.partitionBy("query_id", *CENTROID).orderBy(F.desc("score"), "id")
-    return scored.withColumn("prank", F.row_number().over(order)).where(F.col("prank") <= k)
+    return scored.withColumn("prank", F.row_number().over(order)).where(F.col("prank") <= F.col("k")).drop("k")
 
 
 def centroid_lookup(state: State, queries: DataFrame, now: Now = None) -> DataFrame:
     """(query_id, namespace, node_id, centroid_id, id, seq, prank, score): k nearest live points in every centroid."""
     queries = small(queries, "queries")
-    probes = queries.select("query_id", "namespace").join(state.centroids.select(*CENTROID), "namespace")
-    return probe(live(state.points, now), probes, queries, F.col("k")).select("query_id", *CENTROID, "id", "seq", "prank", "score")
+    probes = queries.select("query_id", "namespace", F.col("k").alias("ask")).join(state.centroids.select(*CENTROID), "namespace")
+    return probe(live(state.points, now), probes, queries).select("query_id", *CENTROID, "id", "seq", "prank", "score")
 
 
 def manager_lookup(state: State, queries: DataFrame, now: Now = None) -> DataFrame:
     """k points per query and manager: the nearest centroid's best first, then the next centroid's, over at most k
     centroids (empty ones use up a probe). Not a global top-k: results aren't ranked anew across centroids."""
-    queries = small(queries, "queries")
+    queries, alive = small(queries, "queries"), live(state.points, now)
     most = queries.agg(F.max("k")).first()[0] or 0
-    probes = ranked_centroids(state, queries, most).join(queries.select("query_id", "k"), "query_id").where("crank <= k").drop("k")
-    found = probe(live(state.points, now), probes, queries, F.col("k"))
+    ks = queries.select("query_id", "k")
+    probes = ranked_centroids(state, queries, most).join(ks, "query_id").where("crank <= k").withColumnRenamed("k", "ask")
+    found = probe(alive, still_missing(alive, probes, queries, ["query_id", *MANAGER], ["crank"]), queries).join(ks, "query_id")
     order = Window.partitionBy("query_id", *MANAGER).orderBy("crank", "prank")
     return found.withColumn("rank", F.row_number().over(order)).where("rank <= k").select("query_id", *CENTROID, "id", "seq", "crank", "prank", "rank", "score")
 

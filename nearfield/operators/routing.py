@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import cosine, norm
-from nearfield.operators.centroids import Now, add_points, assign, drain, live, move_vector, probe, ranked_centroids, without
+from nearfield.operators.centroids import Now, add_points, assign, drain, live, move_vector, probe, ranked_centroids, still_missing, without
 from nearfield.operators.search import knn_batch, nearest, usable
 from nearfield.plans.state import CENTROID, MANAGER, POINT_COLUMNS, State
 from nearfield.sources.scratch import small, written
@@ -76,7 +76,7 @@ def get_points(state: State, queries: DataFrame, route: str = "fast", now: Now =
     )
     asked = visits.join(ks, "query_id").select("query_id", F.explode(plan).alias("v")).where("v.ask > 0").select("query_id", "v.nrank", "v.node_id", "v.ask")
     probes = probes.drop("n").join(small(asked), ["query_id", "node_id"]).where("crank <= ask")
-    found = probe(alive, probes, queries, F.col("ask"))
+    found = probe(alive, still_missing(alive, probes, queries, ["query_id"], ["nrank", "crank"]), queries).join(ks, "query_id")
     order = Window.partitionBy("query_id").orderBy("nrank", "crank", "prank")
     return found.withColumn("rank", F.row_number().over(order)).where("rank <= k").select("query_id", *CENTROID, "id", "seq", "rank", "score")
 
