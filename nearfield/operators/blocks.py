@@ -104,9 +104,10 @@ def best(q: np.ndarray, qn: np.ndarray, k: np.ndarray, p: np.ndarray, pn: np.nda
         near = (q[own] / qn[own, None]) @ unit
         near = near if largest else -near
         if len(plain) > most:
-            i, j = np.nonzero(near >= np.partition(near, len(plain) - most, axis=1)[:, [len(plain) - most]] - slack)
+            near = np.flatnonzero(near >= np.partition(near, len(plain) - most, axis=1)[:, [len(plain) - most]] - slack)
         else:
-            i, j = np.divmod(np.arange(near.size), max(1, len(plain)))
+            near = np.arange(near.size)
+        i, j = np.divmod(near, max(1, len(plain)))
         i = np.concatenate([own[i], np.repeat(own, len(odd)), np.repeat(strange, len(p))])
         j = np.concatenate([plain[j], np.tile(odd, len(own)), np.tile(everything, len(strange))])
         score = _scores(q, qn, p, pn, i, j, pool_first)

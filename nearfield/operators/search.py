@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import Metric, cosine, l1_distance, norm
+from nearfield.operators.blocks import block_best
 from nearfield.sources.scratch import BROADCAST_BYTES, measured, written
 
 #: Rows of a block, where a side is too large to stand beside every row of the other.
@@ -104,25 +105,30 @@ def knn_batch(queries: DataFrame, pool: DataFrame, k: int | Column, metric: Metr
     """(query_id, id, rank, score): k best rows of ``pool`` (id, vec) for each of ``queries`` (query_id, vec), among those
     with the same ``on`` columns; ``k`` may be a column of the queries.
 
-    The queries are packed into blocks that meet every row of the pool once. Spark's window group limit keeps k rows per
-    query and task before anything is shuffled.
+    By cosine, blocks of queries meet blocks of the pool (``block_best``). By another metric, the queries are packed into
+    blocks that meet every row of the pool once. Spark's window group limit keeps k rows per query and task before anything
+    is shuffled.
     """
     if isinstance(k, int):
         _check_k(k)
     on, k = on or [], F.lit(k) if isinstance(k, int) else k
-    table, n, size = measured(queries.select(*on, "query_id", "vec", norm("vec").alias("n"), k.alias("k")), "queries")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score") if largest else F.asc("score"), "id")
+    if metric is None:
+        asked = written(queries.select(*on, "query_id", "vec", k.cast("int").alias("k")).where("k > 0"), "queries")
+        met = block_best(asked, pool.select(*on, "id", "vec"), on, largest, pool_first=True)
+        return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k")).select("query_id", "id", "rank", "score")
+    table, n, size = measured(queries.select(*on, "query_id", "vec", k.alias("k")), "queries")
     block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // BLOCK_ROWS)))).alias("__block")
-    packed = table.groupBy(*on, block).agg(F.collect_list(F.struct("query_id", F.col("vec").alias("v"), "n", "k")).alias("rs"))
+    packed = table.groupBy(*on, block).agg(F.collect_list(F.struct("query_id", F.col("vec").alias("v"), "k")).alias("rs"))
     packed = F.broadcast(packed) if size <= BROADCAST_BYTES else packed
-    rows = pool.select(*on, "id", "vec", norm("vec").alias("__n"))
+    rows = pool.select(*on, "id", "vec")
     rows = rows.join(packed, on) if on else rows.crossJoin(packed)
 
     def score(q: Column) -> Column:
-        return cosine(F.col("vec"), q["v"], F.col("__n"), q["n"]) if metric is None else metric(F.col("vec"), q["v"])
+        return metric(F.col("vec"), q["v"])
 
     scores = F.filter(F.transform("rs", lambda q: F.struct(q["query_id"].alias("query_id"), q["k"].alias("k"), score(q).alias("score"))), lambda e: usable(e["score"]))
     pairs = rows.select("id", F.explode(scores).alias("e")).select("id", "e.*")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score") if largest else F.asc("score"), "id")
     most = table.agg(F.max("k")).first()[0] or 0
     ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     return ranked.where(F.col("rank") <= F.col("k")).select("query_id", "id", "rank", "score")
