@@ -166,3 +166,35 @@ def block_best(queries: DataFrame, pool: DataFrame, on: list[str], largest: bool
     group = [*keys, "__qb", "__pb"]
     meet = _meeting([f.name for f in fields], to_arrow_schema(schema), largest, pool_first)
     return asking.groupBy(*group).cogroup(given.groupBy(*group)).applyInArrow(meet, schema).drop("__all")
+
+
+def nearest_udf(receivers: pa.Table, k: int, largest: bool) -> Callable[..., Column]:
+    """Of a vector and its group: the numbers (``at``) and scores of the group's ``k`` best ``receivers`` (__g, __at in
+    order, vec), best first."""
+    group, number = receivers["__g"].to_numpy(), receivers["__at"].to_numpy()
+    ours = {}
+    for at, x, n in matrices(receivers["vec"]):
+        for g in np.unique(group[at]):
+            own = group[at] == g
+            ours[int(g), x.shape[1]] = number[at][own], x[own], n[own]
+
+    @F.arrow_udf("array<struct<at: int, score: double>>")
+    def nearest_of(vec: pa.Array, g: pa.Array) -> pa.Array:
+        key = g.fill_null(0).to_numpy(zero_copy_only=False)
+        i, at, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0)]
+        for own, q, qn in matrices(vec):
+            for one in np.unique(key[own]):
+                mine = np.flatnonzero(key[own] == one)
+                if (int(one), q.shape[1]) in ours:
+                    names, p, pn = ours[int(one), q.shape[1]]
+                    a, b, c = best(q[mine], qn[mine], np.full(len(mine), k), p, pn, largest)
+                    i.append(own[mine[a]])
+                    at.append(names[b])
+                    score.append(c)
+        i, at, score = np.concatenate(i), np.concatenate(at), np.concatenate(score)
+        order = np.argsort(i, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(vec)))]).astype(np.int32)
+        items = pa.StructArray.from_arrays([pa.array(at[order], pa.int32()), pa.array(score[order])], ["at", "score"])
+        return pa.ListArray.from_arrays(pa.array(ends), items)
+
+    return nearest_of

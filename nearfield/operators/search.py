@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import Metric, cosine, l1_distance, norm
-from nearfield.operators.blocks import block_best
+from nearfield.operators.blocks import block_best, nearest_udf
 from nearfield.sources.scratch import BROADCAST_BYTES, measured, written
 
 #: Rows of a block, where a side is too large to stand beside every row of the other.
@@ -69,6 +69,20 @@ def _scored(rows: DataFrame, k: int, value: str, metric: Metric | None, largest:
     return rows.withColumn("__best", best).drop("rs", "__n")
 
 
+def _nearest_cosine(points: DataFrame, table: DataFrame, k: int, on: list[str], receiver: str, value: str, largest: bool, keep: bool) -> DataFrame:
+    """``nearest`` by cosine, of receivers ``table`` (``on``, id, v) that each task can hold; they are numbered by key and id."""
+    group = F.dense_rank().over(Window.orderBy(*on)) if on else F.lit(1)  # over receivers alone
+    turn = F.row_number().over(Window.orderBy(*on, "id"))
+    numbered = written(table.select(*on, "id", "v", group.cast("int").alias("__g"), turn.alias("__at")), "receivers")
+    dealt = points.join(F.broadcast(numbered.select(*on, "__g").distinct()), on, "left") if on else points.withColumn("__g", F.lit(1))
+    own = numbered.orderBy("__at").select("__g", "__at", F.col("v").alias("vec")).toArrow()
+    found = dealt.withColumn("__best", nearest_udf(own, k, largest)(F.col(value), "__g"))
+    found = found.select(*points.columns, (F.posexplode_outer if keep else F.posexplode)("__best").alias("__pos", "__e"))
+    found = found.select(*points.columns, F.col("__e.at").alias("__at"), (F.col("__pos") + 1).alias("rank"), F.col("__e.score").alias("score"))
+    named = found.join(F.broadcast(numbered.select("__at", F.col("id").alias(receiver))), "__at", "left")
+    return named.select(*points.columns, receiver, "rank", "score")
+
+
 def nearest(
     points: DataFrame, receivers: DataFrame, k: int, on: list[str] | None = None, receiver: str = "receiver_id", value: str = "vec", metric: Metric | None = None, largest: bool = True, keep: bool = False, limit: int = BROADCAST_BYTES
 ) -> DataFrame:
@@ -76,14 +90,17 @@ def nearest(
     columns, ties to the smaller receiver. With ``keep``, rows without any have one line of nulls. Columns of these three
     names are replaced. Every row of ``points`` is a point of its own, whatever its columns repeat.
 
-    Receivers of at most ``limit`` bytes are packed into one array per ``on`` key that stands beside each point: neither
-    a row per pair nor a shuffle of points. Beyond, points and receivers meet in blocks dealt by ``on`` and block, so that
-    no task holds a whole hot key, and the blocks' best are ranked once more per numbered point. Both give the same rows.
+    By cosine, receivers of at most ``limit`` bytes go to every task as matrices: neither a row per pair nor a shuffle of
+    points. By another metric they are packed into one array per ``on`` key that stands beside each point. Beyond, points
+    and receivers meet in blocks dealt by ``on`` and block, so that no task holds a whole hot key, and the blocks' best are
+    ranked once more per numbered point. All give the same rows.
     """
     _check_k(k)
     on = on or []
     points = points.drop(receiver, "rank", "score")
     table, n, size = measured(receivers.select(*on, F.col(receiver).alias("id"), F.col(value).alias("v"), norm(value).alias("n")), "receivers")
+    if metric is None and size <= limit:
+        return _nearest_cosine(points, table, k, on, receiver, value, largest, keep)
     if size <= limit:
         packed = F.broadcast(table.groupBy(*on).agg(F.collect_list(F.struct("id", "v", "n")).alias("rs")))
         rows = points.withColumn("__n", norm(value))

@@ -68,3 +68,14 @@ def test_lookups_meet_in_blocks(spark):
     for found in (C.centroid_lookup(s, q, NOW), C.manager_lookup(s, q, NOW), R.get_points(s, q, "fast", NOW)):
         assert "CoGroup" in plan(found)
     assert sorted((r.query_id, r["rank"], r.id) for r in R.get_points(s, q, "fast", NOW).collect()) == [(0, n + 1, n) for n in range(4)] + [(1, 1, 59), (1, 2, 58), (1, 3, 57), (1, 4, 56)]
+
+
+def test_few_receivers_meet_points_as_matrices(spark):
+    """Keys without receivers, odd vectors and ties, with and without ``keep``, as the blocks of expressions give them."""
+    points = rows(spark, 40).withColumn("node_id", F.when(F.col("id") % 5 > 0, F.concat(F.lit("n"), (F.col("id") % 3).cast("string"))))
+    receivers = rows(spark, 12).where("id % 2 = 0 OR id > 12").select(F.struct("id").alias("receiver_id"), "vec", F.explode(F.array(F.lit("n0"), F.lit("n1"))).alias("node_id"))
+    for on, k, keep in (([], 3, False), (["node_id"], 1, True), (["node_id"], 2, False)):
+        own = receivers if on else receivers.where("node_id = 'n0'").drop("node_id")
+        few, many = (S.nearest(points, own, k, on, keep=keep, limit=limit) for limit in (S.BROADCAST_BYTES, 0))
+        assert "ArrowEvalPython" in plan(few)  # before, expressions scored each pair
+        assert sorted(map(repr, few.select("id", "node_id", "receiver_id", "rank", "score").collect())) == sorted(map(repr, many.select("id", "node_id", "receiver_id", "rank", "score").collect()))
